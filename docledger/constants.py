@@ -10,6 +10,9 @@ DATE_PATTERNS = [
     ("month_day_only", r"(\d{1,2})\s*月\s*(\d{1,2})\s*日", None),
 ]
 
+# literals a date or vendor pattern cannot match without
+DATE_LITERALS = {"reiwa": ["令和"], "heisei": ["平成"], "showa": ["昭和"], "month_day_only": ["月"]}
+
 # --- fixed values: amount patterns, tried in this order ------------------------------------------
 AMOUNT_PATTERNS = {
     "total": r"(?:合計|お会計|総合計|小計\s*合計|請求金額|ご請求金額|お支払い?金額|合計金額)[^\d\n]*¥?\s*([\d,，]+)",
@@ -31,6 +34,11 @@ VENDOR_PATTERNS = [
     r"(?:㈱|株式会社|有限会社|合同会社|一般社団法人|公益財団法人)\s*(.{1,30})",
     r"(.{1,30})\s*(?:㈱|株式会社|有限会社|合同会社)",
 ]
+VENDOR_LITERALS = [
+    ["発行元", "店舗名", "取引先", "請求元", "会社名"],
+    ["㈱", "株式会社", "有限会社", "合同会社", "一般社団法人", "公益財団法人"],
+    ["㈱", "株式会社", "有限会社", "合同会社"],
+]
 VENDOR_LINE_EXCLUDED = ["年", "月", "合計", "小計", "¥"]
 LINE_ITEM_PATTERN = r"(.{1,30}?)\s{2,}(\d+)\s*(?:個|本|枚|冊|点|式)?\s+([\d,，]+)\s+([\d,，]+)"
 

@@ -23,6 +23,16 @@ def rx(col: Column, pattern: str, group: int = 1, ignore_case: bool = False) ->
     return F.nullif(F.regexp_extract(col, flags + pattern, group), F.lit(""))
 
 
+def rx_raw(col: Column, pattern: str, group: int = 1, needs: list[str] = ()) -> Column:
+    """First match or '' — for stages whose next step treats both alike.
+
+    ``needs`` lists literals of which one must be present for the pattern to match at all; texts without any of them skip
+    the pattern after a plain byte search.
+    """
+    found = F.regexp_extract(col, FLAGS + pattern, group)
+    return F.when(reduce(lambda a, b: a | b, [F.contains(col, F.lit(w)) for w in needs]), found).otherwise("") if needs else found
+
+
 def rx_all(col: Column, pattern: str, group: int = 1, flags: str = FLAGS) -> Column:
     """Every non-overlapping match of ``pattern`` as an array."""
     return F.regexp_extract_all(col, F.lit(flags + pattern), F.lit(group))
@@ -39,7 +49,7 @@ def blank_to_null(col: Column) -> Column:
 
 def normalize_text(col: Column) -> Column:
     """Full-width ASCII and digits to half width, wide yen sign and wide space too; kana stay as they are."""
-    return F.translate(col, _WIDE, _NARROW)
+    return F.when(col.rlike("[！-～￥\u3000]"), F.translate(col, _WIDE, _NARROW)).otherwise(col)
 
 
 def text_lines(col: Column) -> Column:

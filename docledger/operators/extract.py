@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docledger import constants as C
 from docledger.functions.text import (
-    LINE_BREAK, blank_to_null, contains_any, first_group, normalize_text, parse_amount, rx, rx_all, strip,
+    LINE_BREAK, blank_to_null, contains_any, first_group, normalize_text, parse_amount, rx, rx_all, rx_raw, strip,
 )
 
 ITEM_TYPE = "array<struct<description:string,quantity:bigint,unit_price:decimal(14,2),amount:decimal(14,2),tax_rate:decimal(5,3)>>"
@@ -27,7 +27,8 @@ def with_normalized(df: DataFrame, text_col: str, out: str = "norm_text") -> Dat
 
 def with_date(df: DataFrame, norm_col: str, as_of, out: str = "transaction_date") -> DataFrame:
     """Transaction date: the first pattern, in order, whose first match is a real date."""
-    df = df.withColumns({f"_dm{i}": rx(F.col(norm_col), p, 0) for i, (_, p, _) in enumerate(C.DATE_PATTERNS)})
+    df = df.withColumns({
+        f"_dm{i}": rx_raw(F.col(norm_col), p, 0, C.DATE_LITERALS.get(name, ())) for i, (name, p, _) in enumerate(C.DATE_PATTERNS)})
     df = df.withColumns({
         f"_dn{i}": F.regexp_extract_all(F.col(f"_dm{i}"), F.lit(r"(?U)\d+"), F.lit(0))
         for i in range(len(C.DATE_PATTERNS))
@@ -54,7 +55,11 @@ def _safe_date(year: Column, month: Column, day: Column) -> Column:
 def with_vendor(df: DataFrame, norm_col: str, out: str = "vendor_name") -> DataFrame:
     """Vendor: labelled or corporate-form patterns, else the first plausible one of the first five lines."""
     text = F.col(norm_col)
-    df = df.withColumn("_labelled", F.coalesce(*[rx(text, p) for p in C.VENDOR_PATTERNS]))
+    tried = lambda i: rx_raw(text, C.VENDOR_PATTERNS[i], 1, C.VENDOR_LITERALS[i])
+    df = df.withColumns({"_v0": tried(0), "_v1": tried(1)})
+    # the last pattern is costly and only counts when the first two found nothing
+    df = df.withColumn("_v2", F.when((F.col("_v0") == "") & (F.col("_v1") == ""), tried(2)))
+    df = df.withColumn("_labelled", F.coalesce(*[blank_to_null(F.col(f"_v{i}")) for i in range(3)])).drop("_v0", "_v1", "_v2")
 
     def plausible(line):
         ok = (F.length(line) >= 2) & ~line.rlike(r"(?U)^[〒\d]")
@@ -105,7 +110,7 @@ def with_amounts(df: DataFrame, norm_col: str, yen: str = "first", infer_tax: bo
     """
     text = F.col(norm_col)
     positive = lambda c: F.when(c > 0, c)
-    found = {f"_am_{k}": parse_amount(rx(text, p)) for k, p in C.AMOUNT_PATTERNS.items()}
+    found = {f"_am_{k}": parse_amount(rx_raw(text, p)) for k, p in C.AMOUNT_PATTERNS.items()}
     if yen == "max":
         every = F.transform(rx_all(text, C.AMOUNT_PATTERNS["yen_amount"]), parse_amount)
         found["_am_yen_amount"] = F.array_max(F.filter(every, lambda v: v.isNotNull()))
@@ -132,7 +137,9 @@ def inferred_tax() -> Column:
 def line_items(norm: Column) -> Column:
     """Item rows ``description  qty  price  amount`` whose product is within 10 % of the amount."""
     part = lambda m, g: F.regexp_extract(m, "(?dU)" + C.LINE_ITEM_PATTERN, g)
-    rows = F.transform(rx_all(norm, C.LINE_ITEM_PATTERN, 0), lambda m: F.struct(
+    # the full pattern is costly; only texts with a wide gap before a digit can hold an item row
+    whole = F.when(norm.rlike(r"(?U)\s{2,}\d"), rx_all(norm, C.LINE_ITEM_PATTERN, 0)).when(norm.isNotNull(), F.array().cast("array<string>"))
+    rows = F.transform(whole, lambda m: F.struct(
         strip(part(m, 1)).alias("description"),
         part(m, 2).try_cast("bigint").alias("quantity"),
         parse_amount(part(m, 3)).alias("unit_price"),

@@ -6,10 +6,12 @@ its own. Everything is a projection of the whole source table; nothing is sample
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.sources.tables import raw
+from docledger.sources.tables import raw, spread
 
 AS_OF = "2026-01-15"
 K = "o_orderkey"
@@ -219,24 +221,65 @@ TOTAL_LINE = f"CASE WHEN {K} % 9 = 4 THEN '¥' || ({comma(TOTAL)}) ELSE '合計
 PAY_LINE = case(f"{K} % 6", ["'現金'", "'VISA'", "'PayPay'", "'振込'", "''", "'口座振替'"])
 CONTACT = f"CASE WHEN {K} % 5 = 0 THEN '' ELSE {ADDRESS} || chr(10) || 'TEL ' || {PHONE} END"
 REG_LINE = f"CASE WHEN {K} % 7 = 0 THEN '' ELSE '登録番号 ' || {REG_NO} END"
-_RECEIPT = NL.join([
+RECEIPT_PLAIN_SQL = NL.join([
     f"({VENDOR_LINE})", f"('発行日 ' || {DATE_TEXT})", f"({CONTACT})", f"('小計 ' || ({comma(SUB)}) || '円')", f"({TAX_LINE})", f"({TOTAL_LINE})",
     f"({PAY_LINE})", f"({REG_LINE})"])
-RECEIPT_TEXT = f"CASE WHEN {K} % 3 = 0 THEN translate({_RECEIPT}, '0123456789', '０１２３４５６７８９') ELSE {_RECEIPT} END"
-RECEIPTS_SQL = f"SELECT {K} AS doc_id, {CLIENT} AS client_id, {RECEIPT_TEXT} AS text FROM orders"
-
 PII_TEXT = (
     f"'個人番号: ' || {MY_NUMBER} || chr(10) || '口座番号: ' || {ACCOUNT_NO} || ' へ' || chr(10) || 'カード ' || {CARD} || chr(10) || "
     f"CASE WHEN {K} % 4 = 0 THEN '再掲 ' || {MY_NUMBER} || chr(10) ELSE '' END || '連絡 ' || {EMAIL} || ' 電話 ' || {PHONE}")
 
 
+def _check_digit(body):
+    """Check digit of a 12-digit body column."""
+    terms = [F.substring(body, n - 1, 1).cast("int") * (2 if n % 2 == 0 else 1) for n in range(2, 14)]
+    return F.lit(9) - reduce(lambda x, y: x + y, terms) % 9
+
+
 def receipts(spark: SparkSession, sf: str) -> DataFrame:
-    """Receipt texts (doc_id, client_id, text), one per order."""
-    return _orders(spark, sf).selectExpr(f"{K} AS doc_id", f"{CLIENT} AS client_id", f"{RECEIPT_TEXT} AS text")
+    """Receipt texts (doc_id, client_id, text), one per order. Values first, then lines, then the text."""
+    k = F.col("k")
+    o = spread(_orders(spark, sf).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")).select(
+        F.col(K).alias("k"), F.expr(CLIENT).alias("client_id"), F.floor("o_totalprice").cast("bigint").alias("total"),
+        F.expr(TAX).alias("tax"), F.expr(VENDOR).alias("vendor"), F.lpad(F.col(K).cast("string"), 12, "0").alias("body"),
+        F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("d"))
+    yen = lambda c: F.format_number(c, 0)
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    o = o.withColumns({"sub_t": yen(F.col("total") - F.col("tax")), "tax_t": yen(F.col("tax")), "total_t": yen(F.col("total")), "check": _check_digit(F.col("body"))})
+    y, m, d = F.col("y"), F.col("m"), F.col("d")
+    kanji = lambda era, year: F.concat(F.lit(era), year.cast("string"), F.lit("年"), m.cast("string"), F.lit("月"), d.cast("string"), F.lit("日"))
+    forms = [
+        kanji("令和", y - 1994), kanji("平成", y - 1988), kanji("", y + 24), F.concat_ws("/", y + 24, m, d),
+        F.concat_ws(".", y - 1976, pad(m, 2), pad(d, 2)), F.concat(m.cast("string"), F.lit("月"), d.cast("string"), F.lit("日")),
+        kanji("昭和", y - 1965), F.concat(F.lit("令和6年13月40日\n"), F.concat_ws("-", y + 24, pad(m, 2), pad(d, 2)))]
+    pick = lambda n, values: reduce(lambda w, iv: w.when(k % n == iv[0], iv[1]), list(enumerate(values))[1:], F.when(k % n == 0, values[0]))
+    contact = F.concat(
+        F.lit("〒"), pad(k % 1000, 3), F.lit("-"), pad((k * 3) % 10000, 4), F.lit(" 東京都中央区銀座\nTEL 03-"), pad(k % 10000, 4), F.lit("-"), pad((k * 7) % 10000, 4))
+    amount = lambda label, c: F.concat(F.lit(label), F.col(c), F.lit("円"))
+    digit = F.when(k % 4 == 3, F.col("check") % 9 + 1).otherwise(F.col("check"))
+    o = o.select(
+        "k", "client_id",
+        F.concat(pick(3, [F.lit(""), F.lit("発行元: "), F.lit("株式会社")]), F.col("vendor")).alias("l1"),
+        F.concat(F.lit("発行日 "), pick(8, forms)).alias("l2"),
+        F.when(k % 5 == 0, "").otherwise(contact).alias("l3"),
+        amount("小計 ", "sub_t").alias("l4"),
+        F.when(k % 10 == 7, amount("消費税 (8%) ", "tax_t")).when(k % 10 == 3, "").when(k % 11 == 5, amount("消費税 ", "tax_t"))
+        .otherwise(amount("消費税 (10%) ", "tax_t")).alias("l5"),
+        F.when(k % 9 == 4, F.concat(F.lit("¥"), F.col("total_t"))).otherwise(amount("合計 ", "total_t")).alias("l6"),
+        pick(6, [F.lit(v) for v in ("現金", "VISA", "PayPay", "振込", "", "口座振替")]).alias("l7"),
+        F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("登録番号 T"), digit.cast("string"), F.col("body"))).alias("l8"))
+    o = o.select("k", "client_id", F.concat_ws("\n", *[f"l{i}" for i in range(1, 9)]).alias("t"))
+    return o.select(
+        F.col("k").alias("doc_id"), "client_id",
+        F.when(k % 3 == 0, F.translate("t", "0123456789", "０１２３４５６７８９")).otherwise(F.col("t")).alias("text"))
 
 
 def pii_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return _orders(spark, sf).selectExpr(f"{K} AS doc_id", f"{PII_TEXT} AS text")
+    return spread(_orders(spark, sf).select(K)).selectExpr(f"{K} AS doc_id", f"{PII_TEXT} AS text")
+
+
+def prose(spark: SparkSession, sf: str) -> DataFrame:
+    """The driver's own document texts (doc_id, text)."""
+    return spread(raw(spark, sf, "documents").select("doc_id", "text"))
 
 
 def invoices(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,12 +17,20 @@ def local_session(app: str = "docledger", cores: str = "*", partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Let the JVM compile what Spark generates: HotSpot never compiles methods above 8000 bytes of code, so wide text
+    projections are better split up than fused. Left alone when the session has its own value."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the session names; fall back to a scratch folder only when none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

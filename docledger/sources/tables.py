@@ -26,3 +26,10 @@ def write_table(df: DataFrame, base: str, name: str, mode: str = "append") -> No
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input with fewer splits than cores before heavy text work. Large inputs have more splits than cores and
+    pass through without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from docledger.catalog import checks, learning, text  # noqa: F401
+from docledger.catalog import checks, learning, office, text  # noqa: F401
 from docledger.catalog.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -88,10 +88,10 @@ def rules_global(spark, sf):
 
 @query("rules_keyword", f"""WITH n AS (SELECT DISTINCT {fx.VENDOR} AS vendor_name FROM orders),
 kw AS (SELECT vendor_name, CASE {' '.join(f"WHEN {' OR '.join(f'contains(lower(vendor_name), {fx.q(w.lower())})' for w in ws)} THEN {i}" for i, (ws, _, _) in enumerate(C.KEYWORD_RULES))} END AS rule FROM n)
-SELECT vendor_name, {_KW(1)} AS account_title, {_KW(2)} AS tax_category, 'keyword' AS match_type, 0.7::double AS confidence FROM kw WHERE rule IS NOT NULL""")
+SELECT vendor_name, {_KW(1)} AS account_title, {_KW(2)} AS tax_category, CASE WHEN rule IS NOT NULL THEN 'keyword' END AS match_type, CASE WHEN rule IS NOT NULL THEN 0.7::double END AS confidence FROM kw""")
 def rules_keyword(spark, sf):
     n = raw(spark, sf, "orders").selectExpr(f"{fx.VENDOR} AS vendor_name").distinct()
-    return _flat(RU.match_keyword(n), "vendor_name").filter("match_type is not null").drop("matched_vendor")
+    return _flat(RU.match_keyword(n), "vendor_name").drop("matched_vendor")
 
 
 # an office's own rules: every part name is a keyword for vendors described by part type and name

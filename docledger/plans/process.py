@@ -12,7 +12,7 @@ from docledger.functions.scoring import score_documents
 from docledger.operators.extract import FIELD_NAMES, extract_fields, item_rows
 from docledger.operators.rules import apply_suggestion, suggest_accounts
 from docledger.operators.state import auto_approve
-from docledger.session import ensure_checkpoint_dir
+from docledger.session import keep
 
 
 def read_fields(docs: DataFrame, as_of, mask: Column | None = None) -> DataFrame:
@@ -56,13 +56,12 @@ def split_tables(scored: DataFrame) -> dict[str, DataFrame]:
 
 def process(docs: DataFrame, history: DataFrame, as_of, at: Column, mask: Column | None = None, stage: bool = True) -> dict[str, DataFrame]:
     """The whole run. Extraction feeds both the vendor list and the final join, and three tables read the scores, so both
-    results are kept in the checkpoint folder; nothing is extracted twice and a lost executor costs only its own tasks."""
+    results are written once to the checkpoint folder; nothing is extracted twice and a lost executor costs only its own tasks."""
     fields = read_fields(docs, as_of, mask)
     if stage:
-        ensure_checkpoint_dir(docs.sparkSession)
-        fields = fields.checkpoint()
+        fields = keep(fields, "fields")
     scored = score(fields, history, at)
-    return split_tables(scored.checkpoint() if stage else scored)
+    return split_tables(keep(scored, "scored") if stage else scored)
 
 
 def new_or_changed(incoming: DataFrame, processed: DataFrame) -> DataFrame:

@@ -1,17 +1,16 @@
 """Field extraction against known answers."""
 
 import datetime as dt
-from decimal import Decimal
 
-import pytest
 from pyspark.sql import functions as F
 
 from docledger.operators import extract as X
 
 
-def fields(spark, text, as_of="2024-06-30"):
-    df = spark.createDataFrame([(text,)], "text string")
-    return X.extract_fields(df, "text", as_of).select("fields.*").collect()[0]
+def fields(spark, texts, as_of="2024-06-30"):
+    """Fields of many texts in one run, in order."""
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    return [r.fields for r in X.extract_fields(df, "text", as_of).orderBy("i").collect()]
 
 
 def test_samples(samples):
@@ -27,57 +26,35 @@ def test_samples(samples):
     assert c.total_amount == 17850 and c.invoice_number == "1234"
 
 
-@pytest.mark.parametrize("text, expected", [
-    ("令和6年3月15日", dt.date(2024, 3, 15)),
-    ("平成31年4月30日", dt.date(2019, 4, 30)),
-    ("昭和64年1月7日", dt.date(1989, 1, 7)),
-    ("2024/3/15", dt.date(2024, 3, 15)),
-    ("発行日: 2024-03-15", dt.date(2024, 3, 15)),
-    ("24.3.15", dt.date(2024, 3, 15)),
-    ("2024年2月30日 24/2/28", dt.date(2024, 2, 28)),
-    ("5月3日", dt.date(2024, 5, 3)),
-    ("12月3日", dt.date(2023, 12, 3)),
-    ("合計 1200円", None),
-    ("", None),
-])
-def test_date(spark, text, expected):
-    assert fields(spark, text).transaction_date == expected
-
-
-@pytest.mark.parametrize("text, total, sub, tax10, tax8", [
-    ("小計 1,000円\n消費税 (10%) 100円\n合計 1,100円", 1100, 1000, 100, None),
-    ("本体 500円\n消費税 (8%) 40円\n合計 540円", 540, None, None, 40),
-    ("税込合計 ¥1,320", 1320, None, None, None),
-    ("請求金額 ¥1,320,000", 1320000, None, None, None),
-    ("お支払金額 ¥ 5,400", 5400, None, None, None),
-    ("合計 １，２００円", 1200, None, None, None),
-    ("￥３，５００", 3500, None, None, None),
-    ("小計 1,000円 合計 1,100円", 1100, 1000, 100, None),
-    ("2024年3月15日", None, None, None, None),
-])
-def test_amounts(spark, text, total, sub, tax10, tax8):
-    f = fields(spark, text)
-    as_dec = lambda v: None if v is None else Decimal(v)
-    assert (f.total_amount, f.subtotal_amount, f.tax_amount_10, f.tax_amount_8) == tuple(map(as_dec, (total, sub, tax10, tax8)))
-
-
-@pytest.mark.parametrize("text, expected", [
-    ("現金でお支払い", "現金"), ("クレジットカードでお支払い", "クレジットカード"), ("PayPay 残高", "電子マネー"), ("口座振替", "口座引落"), ("なし", None)])
-def test_payment(spark, text, expected):
-    assert fields(spark, text).payment_method == expected
-
-
-@pytest.mark.parametrize("text, expected", [
-    ("発行元： ABC商会 \n2024", "ABC商会"), ("有限会社 山田", "山田"), ("山田 合同会社", "山田"),
-    ("2024年\n合計\nA\n 花屋さん \n", "花屋さん"), ("1\n2\n3\n4\n5\n六番目", None), ("発行元:  ", None)])
-def test_vendor(spark, text, expected):
-    assert fields(spark, text).vendor_name == expected
-
-
-def test_item_rows_drop_wrong_products(spark):
-    text = "弁当   2   580   1,160\nコーヒー  1   300    900\nパン  3個  100  300"
-    items = fields(spark, text).line_items
-    assert [(i.description, i.quantity, i.amount) for i in items] == [("弁当", 2, 1160), ("パン", 3, 300)]
+DATES = [
+    ("令和6年3月15日", dt.date(2024, 3, 15)), ("平成31年4月30日", dt.date(2019, 4, 30)), ("昭和64年1月7日", dt.date(1989, 1, 7)),
+    ("2024/3/15", dt.date(2024, 3, 15)), ("発行日: 2024-03-15", dt.date(2024, 3, 15)), ("24.3.15", dt.date(2024, 3, 15)),
+    ("2024年2月30日 24/2/28", dt.date(2024, 2, 28)), ("5月3日", dt.date(2024, 5, 3)), ("12月3日", dt.date(2023, 12, 3)), ("合計 1200円", None), ("", None)]
+AMOUNTS = [
+    ("小計 1,000円\n消費税 (10%) 100円\n合計 1,100円", (1100, 1000, 100, None)), ("本体 500円\n消費税 (8%) 40円\n合計 540円", (540, None, None, 40)),
+    ("税込合計 ¥1,320", (1320, None, None, None)), ("請求金額 ¥1,320,000", (1320000, None, None, None)), ("お支払金額 ¥ 5,400", (5400, None, None, None)),
+    ("合計 １，２００円", (1200, None, None, None)), ("￥３，５００", (3500, None, None, None)), ("小計 1,000円 合計 1,100円", (1100, 1000, 100, None)),
+    ("2024年3月15日", (None, None, None, None))]
+PAYMENTS = [("現金でお支払い", "現金"), ("クレジットカードでお支払い", "クレジットカード"), ("PayPay 残高", "電子マネー"), ("口座振替", "口座引落"), ("なし", None)]
+VENDORS = [
+    ("発行元： ABC商会 \n2024", "ABC商会"), ("有限会社 山田", "山田"), ("山田 合同会社", "山田"), ("2024年\n合計\nA\n 花屋さん \n", "花屋さん"),
+    ("1\n2\n3\n4\n5\n六番目", None), ("発行元:  ", None)]
+ITEMS = [("弁当   2   580   1,160\nコーヒー  1   300    900\nパン  3個  100  300", [("弁当", 2, 1160), ("パン", 3, 300)])]
+
+
+def test_single_fields(spark):
+    """Dates, amounts, payment methods, vendors and item rows, all texts in one run."""
+    cases = (
+        [("transaction_date", t, e) for t, e in DATES] + [("amounts", t, e) for t, e in AMOUNTS] + [("payment_method", t, e) for t, e in PAYMENTS]
+        + [("vendor_name", t, e) for t, e in VENDORS] + [("line_items", t, e) for t, e in ITEMS])
+    for (what, text, expected), f in zip(cases, fields(spark, [t for _, t, _ in cases])):
+        if what == "amounts":
+            got = tuple(None if v is None else int(v) for v in (f.total_amount, f.subtotal_amount, f.tax_amount_10, f.tax_amount_8))
+        elif what == "line_items":
+            got = [(i.description, i.quantity, i.amount) for i in f.line_items]
+        else:
+            got = f[what]
+        assert got == expected, (what, text)
 
 
 def test_merge_keeps_primary(spark):

@@ -27,12 +27,15 @@ def suggest(spark, docs, history, **kw):
     return [(r.account_title, r.match_type, r.confidence) for r in out]
 
 
-@pytest.mark.parametrize("vendor, account", [
+KEYWORDS = [
     ("セブンイレブン渋谷店", "消耗品費"), ("東京タクシー", "旅費交通費"), ("JR東日本", "旅費交通費"), ("新宿レストランABC", "交際費"), ("東京電力", "水道光熱費"),
-    ("NTTドコモ", "通信費"), ("Amazon.co.jp", "消耗品費"), ("スターバックス渋谷", "会議費"), ("お弁当屋さん", "福利厚生費"), ("謎の商店XYZ", None)])
-def test_keywords(spark, vendor, account):
-    df = RU.match_keyword(spark.createDataFrame([(vendor,)], "vendor_name string"))
-    assert df.select("suggestion.account_title").collect()[0][0] == account
+    ("NTTドコモ", "通信費"), ("Amazon.co.jp", "消耗品費"), ("スターバックス渋谷", "会議費"), ("お弁当屋さん", "福利厚生費"), ("謎の商店XYZ", None)]
+
+
+def test_keywords(spark):
+    df = RU.match_keyword(spark.createDataFrame(KEYWORDS, "vendor_name string, want string"))
+    for r in df.collect():
+        assert (r.suggestion.account_title if r.suggestion else None) == r.want, r.vendor_name
 
 
 @pytest.mark.parametrize("stage", [True, False])
@@ -45,7 +48,7 @@ def test_cascade(spark, stage):
         ("水道光熱費", "keyword", 0.70), ("会議費", "vlm", 0.60), (None, "none", 0.0), ("会議費", "none", 0.30), (None, "none", 0.30)]
 
 
-@pytest.mark.parametrize("cap", [500, 5, None])
+@pytest.mark.parametrize("cap", [5, None])
 def test_partial_equals_brute_force(spark, cap):
     rnd = random.Random(7)
     word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6)))

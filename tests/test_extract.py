@@ -32,7 +32,7 @@ DATES = [
     ("2024年2月30日 24/2/28", dt.date(2024, 2, 28)), ("5月3日", dt.date(2024, 5, 3)), ("12月3日", dt.date(2023, 12, 3)), ("合計 1200円", None), ("", None)]
 AMOUNTS = [
     ("小計 1,000円\n消費税 (10%) 100円\n合計 1,100円", (1100, 1000, 100, None)), ("本体 500円\n消費税 (8%) 40円\n合計 540円", (540, None, None, 40)),
-    ("税込合計 ¥1,320", (1320, None, None, None)), ("請求金額 ¥1,320,000", (1320000, None, None, None)), ("お支払金額 ¥ 5,400", (5400, None, None, None)),
+    ("税込合計 ¥1,320", (1320, None, 1320, None)), ("請求金額 ¥1,320,000", (1320000, None, None, None)), ("お支払金額 ¥ 5,400", (5400, None, None, None)),
     ("合計 １，２００円", (1200, None, None, None)), ("￥３，５００", (3500, None, None, None)), ("小計 1,000円 合計 1,100円", (1100, 1000, 100, None)),
     ("2024年3月15日", (None, None, None, None))]
 PAYMENTS = [("現金でお支払い", "現金"), ("クレジットカードでお支払い", "クレジットカード"), ("PayPay 残高", "電子マネー"), ("口座振替", "口座引落"), ("なし", None)]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.llm.decontaminate import find_contamination
+from docledger.llm.fingerprints import compare_with_next
 from docledger.llm.packing import pack
 from docledger.llm.tokens import count_tokens
 
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op6_fingerprints")
+def op6(spark, sf):
+    return compare_with_next(table(spark, sf, "documents"))
+
+
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OP8_WORDS = f"regexp_extract_all(translate(text, '{UPPER_AZ}', '{LOWER_AZ}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

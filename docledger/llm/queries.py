@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from docledger.llm.decontaminate import find_contamination
 from docledger.llm.fingerprints import compare_with_next
+from docledger.llm.language import fit as fit_language
+from docledger.llm.language import fold_of
+from docledger.llm.language import predict as predict_language
 from docledger.llm.packing import pack
 from docledger.llm.tokens import count_tokens
 
@@ -31,6 +34,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def language_model(docs: DataFrame):
+    return fit_language(docs.filter(fold_of("doc_id", 4) != 2))
+
+
+@query("op2_language_id")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents")
+    told = predict_language(docs, language_model(docs))
+    return told.select("doc_id", F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query("op6_fingerprints")
 def op6(spark, sf):
     return compare_with_next(table(spark, sf, "documents"))

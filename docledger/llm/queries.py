@@ -14,6 +14,8 @@ from docledger.llm.language import fit as fit_language
 from docledger.llm.language import fold_of
 from docledger.llm.language import predict as predict_language
 from docledger.llm.packing import pack
+from docledger.llm.quality import fit as fit_quality
+from docledger.llm.quality import score as score_quality
 from docledger.llm.tokens import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +47,15 @@ def op2(spark, sf):
     return told.select("doc_id", F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_quality")
+def op3(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    learn = fold_of("doc_id", 5) != 0
+    model = fit_quality(docs.filter(learn), labels.filter(learn & (F.col("quality") == 1)))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op6_fingerprints")
 def op6(spark, sf):
     return compare_with_next(table(spark, sf, "documents"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docledger.llm.decontaminate import find_contamination
 from docledger.llm.fingerprints import compare_with_next
+from docledger.llm.html import extract
 from docledger.llm.language import fit as fit_language
 from docledger.llm.language import fold_of
 from docledger.llm.language import predict as predict_language
@@ -56,6 +57,11 @@ def op3(spark, sf):
     return scored.select("doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op4_main_text")
+def op4(spark, sf):
+    return extract(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("op6_fingerprints")
 def op6(spark, sf):
     return compare_with_next(table(spark, sf, "documents"))

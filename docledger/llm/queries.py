@@ -17,6 +17,7 @@ from docledger.llm.language import predict as predict_language
 from docledger.llm.packing import pack
 from docledger.llm.quality import fit as fit_quality
 from docledger.llm.quality import score as score_quality
+from docledger.llm.similarity import join_components
 from docledger.llm.tokens import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +68,11 @@ def op6(spark, sf):
     return compare_with_next(table(spark, sf, "documents"))
 
 
+@query("op7_jaccard_join")
+def op7(spark, sf):
+    return join_components(table(spark, sf, "documents"))
+
+
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OP8_WORDS = f"regexp_extract_all(translate(text, '{UPPER_AZ}', '{LOWER_AZ}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

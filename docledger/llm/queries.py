@@ -18,6 +18,7 @@ from docledger.llm.packing import pack
 from docledger.llm.quality import fit as fit_quality
 from docledger.llm.quality import score as score_quality
 from docledger.llm.similarity import join_components
+from docledger.llm.substrings import find_repeats
 from docledger.llm.tokens import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +39,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query(
+    "op1_substring_dedup",
+    r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS first FROM p GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM p JOIN f USING (k) WHERE first < doc_id),
+a AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+t AS (SELECT a.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS s FROM a LEFT JOIN c USING (doc_id, j) WHERE c.doc_id IS NULL GROUP BY a.doc_id)
+SELECT d.doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+""",
+)
+def op1(spark, sf):
+    return find_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def language_model(docs: DataFrame):
     return fit_language(docs.filter(fold_of("doc_id", 4) != 2))
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm.graph import components, small
+from docledger.llm.shared import NONE, shared_hashes, signature
 from docledger.llm.words import LOWER, WHITE, mix, phrases, slices, words
 from docledger.session import keep
 
@@ -31,8 +32,6 @@ WORDS = 4
 #: The share of the hash space that the screen looks at.
 SCREEN = 3
 EDGE = np.uint64((1 << 64) // SCREEN)
-KNOWN = np.uint16(1 << 15)
-NONE = np.zeros(0, np.uint64)
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -53,17 +52,6 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    """A signature of a set: equal sets have equal ones."""
-    total = mix(s + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(s))
-    return int(mix(np.array([total])).view(np.int64)[0])
-
-
-def needed(n):
-    """Shingles that a set of n shares with any set it links to, at least."""
-    return (n * PERCENT + 99) // 100
-
-
 def _classes(rows: DataFrame, k: int, kind: str) -> DataFrame:
     """(rid, key, class, n, screened) of every row; screened: shingles in the screen's range."""
 
@@ -75,7 +63,7 @@ def _classes(rows: DataFrame, k: int, kind: str) -> DataFrame:
                     [
                         part.column(0),
                         part.column(1),
-                        pa.array([class_of(s) for s in sets], pa.int64()),
+                        pa.array([signature(s) for s in sets], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([int(np.searchsorted(s, EDGE)) for s in sets], pa.int64()),
                     ],
@@ -85,80 +73,6 @@ def _classes(rows: DataFrame, k: int, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"rid long, key {kind}, class long, n long, screened long")
 
 
-def _shared(rows: DataFrame, k: int) -> DataFrame:
-    """(rid, shared): how many of a row's screened shingles another class also has. May count too many, never too few.
-
-    A task sends each shingle once per slice, so a shingle that very many texts hold arrives once per slice and not per text.
-    Within a partition 32 bits of the hash tell shingles apart; a rare mix-up only counts one more as shared.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 2):
-                sets = shingle_sets(part.column(2), k)
-                rid = part.column(0).to_numpy()
-                for a in range(0, len(sets), int(KNOWN)):
-                    some = [s[: np.searchsorted(s, EDGE)] for s in sets[a : a + int(KNOWN)]]
-                    seen, own = set(), np.zeros(len(some), bool)  # equal sets within the slice speak once
-                    for i, s in enumerate(sets[a : a + int(KNOWN)]):
-                        c = class_of(s)
-                        own[i] = c not in seen
-                        seen.add(c)
-                    h = np.concatenate([s for s, o in zip(some, own, strict=True) if o] or [NONE])
-                    of = np.repeat(np.flatnonzero(own).astype(np.uint16), [len(s) for s, o in zip(some, own, strict=True) if o])
-                    if not len(h):
-                        continue
-                    order = np.argsort(h, kind="stable")
-                    h, of = h[order], of[order]
-                    new = np.concatenate([[True], h[1:] != h[:-1]])
-                    again = np.concatenate([~new[1:], [False]])
-                    of[new & again] |= KNOWN
-                    to = ((h >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
-                    for kind, pick in ((True, new), (False, ~new)):  # the others of a group are known to be shared
-                        t, hh, oo = to[pick], h[pick], of[pick]
-                        order = np.argsort(t, kind="stable")
-                        t, hh, oo = t[order], hh[order], oo[order]
-                        cuts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]])) if len(t) else []
-                        at = list(zip(cuts[:-1], cuts[1:], strict=True)) if len(t) else []
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([int(t[i]) for i, _ in at], pa.int64()),
-                                pa.array([int(rid[a])] * len(at), pa.int64()),
-                                pa.array([(hh[i:j] >> np.uint64(24)).astype(np.uint32).tobytes() if kind else b"" for i, j in at], pa.binary()),
-                                pa.array([oo[i:j].tobytes() for i, j in at], pa.binary()),
-                            ],
-                            ["p", "base", "h", "of"],
-                        )
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, rid, told = [NONE], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            for p, base, hh, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                of = np.frombuffer(of, np.uint16)
-                who = base + (of & (KNOWN - np.uint16(1))).astype(np.int64)
-                if hh:
-                    known = (of & KNOWN) > 0
-                    told.append(who[known])
-                    h.append(np.frombuffer(hh, np.uint32) | (np.uint64(p) << np.uint64(32)))
-                    rid.append(np.where(known, -1, who))
-                else:
-                    told.append(who)
-        h, rid = np.concatenate(h), np.concatenate(rid)
-        order = np.argsort(h, kind="stable")
-        h, rid = h[order], rid[order]
-        pair = h[1:] == h[:-1]
-        shared = np.zeros(len(h), bool)
-        shared[1:] |= pair
-        shared[:-1] |= pair
-        told.append(rid[shared & (rid >= 0)])
-        who, n = np.unique(np.concatenate(told), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n.astype(np.int64))], ["rid", "shared"])
-
-    sent = rows.mapInArrow(send, "p long, base long, h binary, of binary")
-    return sent.repartition(parts, "p").mapInArrow(meet, "rid long, shared long").groupBy("rid").agg(F.sum("shared").alias("shared"))
-
-
 def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(class, n, shingles) of the wanted rows (rid, class)."""
 
@@ -239,7 +153,9 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"))
     all_rows = keep(_classes(rows, k, kind), "classes")
     known = all_rows.filter(F.col("n") > 0)
-    shared = keep(_shared(rows.select("rid", "key", "text"), k), "shared")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    screen = lambda column: [s[: np.searchsorted(s, EDGE)] for s in shingle_sets(column, k)]
+    shared = keep(shared_hashes(rows.select("rid", "text"), screen, parts, counted=True), "shared")
     spare = F.expr(f"n - (n * {PERCENT} + 99) div 100")
     alive = known.join(shared, "rid").filter(F.col("screened") - F.col("shared") <= spare)
     alive = alive.unionByName(known.filter(F.col("screened") <= spare).withColumn("shared", F.lit(0).cast("long")))

@@ -15,6 +15,7 @@ from docledger.llm.language import fit as fit_language
 from docledger.llm.language import fold_of
 from docledger.llm.language import predict as predict_language
 from docledger.llm.packing import pack
+from docledger.llm.personal import KINDS, find_personal_data
 from docledger.llm.quality import fit as fit_quality
 from docledger.llm.quality import score as score_quality
 from docledger.llm.similarity import join_components
@@ -81,6 +82,15 @@ def op4(spark, sf):
     return extract(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query("op5_personal_data")
+def op5(spark, sf):
+    found = find_personal_data(table(spark, sf, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 @query("op6_fingerprints")
 def op6(spark, sf):
     return compare_with_next(table(spark, sf, "documents"))

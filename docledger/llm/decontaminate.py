@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docledger.llm.graph import small
+from docledger.llm.rows import numbered
 from docledger.llm.words import LOWER, PUNCTUATION, slices, spread, words
 from docledger.session import keep
 
@@ -212,13 +214,26 @@ def find_contamination(
     without words or id match nothing; an id that occurs twice is one item with both texts. Repeated document rows each give a
     row; null keys stay; other columns are not read. More items than item_words words are searched in several passes.
     """
+    rows = numbered(docs, key=F.col(key), text=F.col(text))
+    return _found(rows, items, window, slop, item_key, item_text, item_words).select(F.col("key").alias(key), "n_words", "n_hit", "hits", "near")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no window of any item."""
+    rows = numbered(docs, **{f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
+    at = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    found = _found(rows.select("rid", F.col("rid").alias("key"), at[text].alias("text")), items, window, 0, "item_id", "text", ITEM_WORDS)
+    gone = keep(found.filter(F.col("n_hit") > 0).select("rid"), "contaminated")
+    return rows.join(small(gone), "rid", "left_anti").select(*[c.alias(n) for n, c in at.items()])
+
+
+def _found(rows: DataFrame, items: DataFrame, window: int, slop: int, item_key: str, item_text: str, item_words: int) -> DataFrame:
     id_kind = items.schema[item_key].dataType.simpleString()
     if id_kind not in ("bigint", "int", "string"):
         items, id_kind = items.withColumn(item_key, F.col(item_key).cast("string")), "string"
     items = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = items.select(F.sum(F.length("text") / 2)).first()[0] or 0  # a word and its separator take two characters at least
     passes = max(1, -(-int(size) // item_words))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"))
     parts = []
     for p in range(passes):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()
@@ -240,5 +255,5 @@ def find_contamination(
             F.any_value("key").alias("key"), F.any_value("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("near")).alias("near")
         )
         found = found.withColumn("n_hit", _covered(F.col("hits")))
-    return found.select(F.col("key").alias(key), "n_words", "n_hit", "hits", "near")
+    return found
 

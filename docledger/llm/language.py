@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docledger.llm.graph import small
+from docledger.llm.rows import numbered
 from docledger.llm.words import slices, utf8
 from docledger.session import keep
 
@@ -199,6 +201,21 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     return out.withColumnRenamed("key", key)
 
 
+def drop_unknown(docs: DataFrame, model: Model | None, text: str = "text", label: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose text has a language; a missing label is filled with the predicted one."""
+    rows = numbered(docs, **{f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
+    at = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    told = predict(rows.select("rid", at[text].alias("text")), model, key="rid")
+    told = keep(told.select("rid", "lang_pred"), "languages")
+    gone = told.filter(F.col("lang_pred") == UNKNOWN).select("rid")
+    rows = rows.join(small(gone), "rid", "left_anti")
+    if label in at:
+        bare = keep(rows.filter(at[label].isNull()).select("rid").join(told, "rid"), "filled")
+        rows = rows.join(small(bare), "rid", "left")
+        at[label] = F.coalesce(at[label], F.col("lang_pred"))
+    return rows.select(*[c.alias(n) for n, c in at.items()])
+
+
 def fold_of(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n: the folds of held-out tests."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm.graph import components, small
+from docledger.llm.rows import numbered
 from docledger.llm.shared import NONE, shared_hashes, signature
 from docledger.llm.words import LOWER, WHITE, mix, phrases, slices, words
 from docledger.session import keep
@@ -142,18 +143,12 @@ def _links(ordered: DataFrame) -> DataFrame | None:
         salts *= 4
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """(key, n_shingles, component_id) of every row: component_id is the smallest key that links reach.
-
-    Two rows link when their sets of k-word shingles (A-Z in lower case) have at least PERCENT hundredths of their union in
-    common. Rows without words, null texts among them, link with nothing and are their own component. Repeated rows each give a
-    row. A null key never names a component unless no other key is in it. Other columns are not read.
-    """
-    kind = docs.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"))
+def _grouped(rows: DataFrame, k: int) -> DataFrame:
+    """(rid, key, n, group) of numbered rows (rid, key, text): rows with one group are linked; without words it is null."""
+    kind = rows.schema["key"].dataType.simpleString()
     all_rows = keep(_classes(rows, k, kind), "classes")
     known = all_rows.filter(F.col("n") > 0)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     screen = lambda column: [s[: np.searchsorted(s, EDGE)] for s in shingle_sets(column, k)]
     shared = keep(shared_hashes(rows.select("rid", "text"), screen, parts, counted=True), "shared")
     spare = F.expr(f"n - (n * {PERCENT} + 99) div 100")
@@ -166,12 +161,31 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     level = F.floor(F.log2("df")).cast("int")
     ordered = each.join(often, "h").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct(level.alias("level"), "h"))).alias("order"))
     ordered = keep(ordered.withColumn("unique", F.col("n") - F.size("order")).filter(F.col("unique") <= spare), "ordered")
-    labels = _links(ordered)
-    least = known.groupBy("class").agg(F.min("key").alias("key"))
-    named = least.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "key", F.coalesce("label", "class").alias("label"))
-    named = keep(named, "named")
-    groups = keep(named.groupBy("label").agg(F.min("key").alias("component_id")), "groups")
-    named = keep(named.join(groups, "label").select("class", "component_id"), "named")
-    told = known.select("key", "class", "n").join(named, "class").select("key", "n", "component_id")
-    empty = all_rows.filter(F.col("n") == 0).select("key", "n", F.col("key").alias("component_id"))
-    return told.unionByName(empty).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    labels = keep(_links(ordered).select(F.col("node").alias("class"), "label"), "groups")
+    told = known.select("rid", "key", "class", "n").join(labels, "class", "left").select("rid", "key", "n", F.coalesce("label", "class").alias("group"))
+    return told.unionByName(all_rows.filter(F.col("n") == 0).select("rid", "key", "n", F.lit(None).cast("long").alias("group")))
+
+
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+    """(key, n_shingles, component_id) of every row: component_id is the smallest key that links reach.
+
+    Two rows link when their sets of k-word shingles (A-Z in lower case) have at least PERCENT hundredths of their union in
+    common. Rows without words, null texts among them, link with nothing and are their own component. Repeated rows each give a
+    row. A null key never names a component unless no other key is in it. Other columns are not read.
+    """
+    told = keep(_grouped(numbered(docs, key=F.col(key), text=F.col(text)), k), "grouped")
+    least = keep(told.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min("key").alias("least")), "least")
+    linked = told.filter(F.col("group").isNotNull()).join(least, "group").select("key", "n", F.col("least").alias("component_id"))
+    alone = told.filter(F.col("group").isNull()).select("key", "n", F.col("key").alias("component_id"))
+    return linked.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+    """The rows of docs, all columns, with one row of each component: the one with the smallest key, of equal keys the first.
+    Rows without words all stay."""
+    rows = numbered(docs, **{f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
+    at = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    told = keep(_grouped(rows.select("rid", at[key].alias("key"), at[text].alias("text")), k).filter(F.col("group").isNotNull()), "grouped")
+    first = keep(told.groupBy("group").agg(F.min(F.struct(F.col("key").isNull(), "key", "rid")).alias("first")).select("group", F.col("first.rid").alias("first")), "first")
+    gone = keep(told.join(first, "group").filter(F.col("rid") != F.col("first")).select("rid"), "gone")
+    return rows.join(small(gone), "rid", "left_anti").select(*[c.alias(n) for n, c in at.items()])

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm.graph import small
+from docledger.llm.rows import numbered
 from docledger.llm.shared import NONE, code, shared_hashes
 from docledger.llm.words import Words, mix, phrases, slices, words
 from docledger.session import keep
@@ -256,7 +257,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text
 def _repeats(docs: DataFrame, size: int, key: str, text: str, texts: bool) -> DataFrame:
     kind = docs.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = numbered(docs, key=F.col(key), text=F.col(text))
     every = keep(_all_texts(rows, kind), "texts")
 
     first = keep(every.filter(F.col("n_words") >= size).groupBy("sequence").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last"), "first")

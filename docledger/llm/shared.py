@@ -31,13 +31,12 @@ def signature(s: np.ndarray) -> int:
     return int(mix(np.array([total])).view(np.int64)[0])
 
 
-def _send(sets: list[np.ndarray], base: int, parts: int, by_set: bool) -> pa.RecordBatch:
+def _send(sets: list[np.ndarray], names: list[int], base: int, parts: int) -> pa.RecordBatch:
     """Blocks of hashes by partition, each with the places of the texts that hold them."""
     seen, own = set(), np.ones(len(sets), bool)
-    for i, s in enumerate(sets if by_set else ()):
-        c = signature(s)
-        own[i] = c not in seen
-        seen.add(c)
+    for i, name in enumerate(names):
+        own[i] = name not in seen
+        seen.add(name)
     h = np.concatenate([s for s, o in zip(sets, own, strict=True) if o] or [NONE])
     of = np.repeat(np.flatnonzero(own).astype(np.uint16), [len(s) for s, o in zip(sets, own, strict=True) if o])
     order = np.argsort(h, kind="stable")
@@ -59,20 +58,20 @@ def _send(sets: list[np.ndarray], base: int, parts: int, by_set: bool) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["p", "base", "asks", "h", "of"])
 
 
-def shared_hashes(rows: DataFrame, sets_of: Callable[[pa.Array], list[np.ndarray]], parts: int, counted: bool) -> DataFrame:
+def shared_hashes(rows: DataFrame, sets_of: Callable[[pa.Array], tuple[list[np.ndarray], list[int]]], parts: int, counted: bool) -> DataFrame:
     """(rid, shared) of rows (rid, text) that share any: shared is the list of codes or, counted, how many there are.
 
-    rid has to be the scan's running row number. sets_of gives sorted distinct hashes of each text. Counted, equal sets speak as
-    one: of those in a slice only the first asks.
+    rid has to be the scan's running row number. sets_of gives sorted distinct hashes of each text, and names of the texts or
+    none: texts with one name speak as one, so of those in a slice only the first asks.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 rid = part.column(0)
-                sets = sets_of(part.column(1))
+                sets, names = sets_of(part.column(1))
                 for a in range(0, len(sets), int(KNOWN)):
-                    yield _send(sets[a : a + int(KNOWN)], rid[a].as_py(), parts, counted)
+                    yield _send(sets[a : a + int(KNOWN)], names[a : a + int(KNOWN)], rid[a].as_py(), parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, asking = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

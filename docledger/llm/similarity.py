@@ -149,7 +149,11 @@ def _grouped(rows: DataFrame, k: int) -> DataFrame:
     all_rows = keep(_classes(rows, k, kind), "classes")
     known = all_rows.filter(F.col("n") > 0)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    screen = lambda column: [s[: np.searchsorted(s, EDGE)] for s in shingle_sets(column, k)]
+
+    def screen(column: pa.Array) -> tuple[list[np.ndarray], list[int]]:
+        sets = shingle_sets(column, k)
+        return [s[: np.searchsorted(s, EDGE)] for s in sets], [signature(s) for s in sets]
+
     shared = keep(shared_hashes(rows.select("rid", "text"), screen, parts, counted=True), "shared")
     spare = F.expr(f"n - (n * {PERCENT} + 99) div 100")
     alive = known.join(shared, "rid").filter(F.col("screened") - F.col("shared") <= spare)

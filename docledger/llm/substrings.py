@@ -263,7 +263,7 @@ def _repeats(docs: DataFrame, size: int, key: str, text: str, texts: bool) -> Da
     first = keep(every.filter(F.col("n_words") >= size).groupBy("sequence").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last"), "first")
     copies = keep(every.join(first, "sequence").filter((F.col("key") > F.col("first")) & (F.col("n_words") >= size)).select("rid"), "copies")
 
-    shared = shared_hashes(rows.select("rid", "text"), lambda column: _anchor_sets(column, size), parts, counted=False)
+    shared = shared_hashes(rows.select("rid", "text"), lambda column: (_anchor_sets(column, size), []), parts, counted=False)
     shared = keep(shared.join(copies, "rid", "left_anti"), "shared")
     some = rows.filter(F.col("key").isNotNull()).join(small(shared.select("rid")), "rid", "left_semi")
     some = keep(some.join(shared, "rid").select("rid", "key", "text", "shared"), "some")

@@ -43,7 +43,7 @@ _VKEY = "lower(regexp_replace(replace(vendor_name, 'Ｘ', 'X'), '\\s+', '', 'g')
 _RULES_CTE = f"""
 WITH h AS (SELECT *, coalesce(client_id, '_global') AS ck FROM ({_HISTORY})),
 ranked AS (SELECT *, {_VKEY} AS vk, row_number() OVER (PARTITION BY ck ORDER BY use_count DESC, last_used_at DESC, vendor_name, account_title) AS rk FROM h),
-client_rules AS (SELECT ck, vk, vendor_name AS rv, account_title AS ra, {_TAX} AS rt, rk FROM ranked WHERE rk <= 500
+client_rules AS (SELECT ck, vk, vendor_name AS rv, account_title AS ra, {_TAX} AS rt, rk FROM ranked
   QUALIFY row_number() OVER (PARTITION BY ck, vk ORDER BY rk) = 1),
 global_rules AS (SELECT vk, vendor_name AS rv, account_title AS ra, {_TAX} AS rt FROM ranked
   QUALIFY row_number() OVER (PARTITION BY vk ORDER BY last_used_at DESC, use_count DESC, vendor_name DESC, account_title DESC, tax_category DESC) = 1),
@@ -145,7 +145,7 @@ def normalize_tax_category(spark, sf):
 SELECT client_id, vendor_name, use_count, rank FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY use_count DESC, last_used_at DESC, vendor_name, account_title) AS rank FROM ({fx.HISTORY_SQL}))
 WHERE rank <= 500""")
 def history_rank(spark, sf):
-    return H.top_per_client(fx.history(spark, sf)).select("client_id", "vendor_name", "use_count", F.col("rank").cast("bigint").alias("rank"))
+    return H.top_per_client(fx.history(spark, sf), 500).select("client_id", "vendor_name", "use_count", F.col("rank").cast("bigint").alias("rank"))
 
 
 _NEWEST = """
@@ -154,15 +154,14 @@ n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY la
 
 
 @query("newest_rules", _NEWEST.format(history=_HISTORY, keys="ck, vk") + """
-SELECT ck AS client_key, vk AS vendor_key, account_title, strftime(last_used_at, '%Y-%m-%d') AS last_used, rank FROM
- (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY last_used_at DESC, use_count DESC, vk) AS rank FROM n) WHERE rank <= 500""")
+SELECT ck AS client_key, vk AS vendor_key, account_title, strftime(last_used_at, '%Y-%m-%d') AS last_used FROM n""")
 def newest_rules(spark, sf):
     return H.newest_rules(rule_history(spark, sf)).select(
-        "client_key", "vendor_key", "account_title", F.date_format("last_used_at", "yyyy-MM-dd").alias("last_used"), F.col("rank").cast("bigint").alias("rank"))
+        "client_key", "vendor_key", "account_title", F.date_format("last_used_at", "yyyy-MM-dd").alias("last_used"))
 
 
 @query("newest_rules_global", _NEWEST.format(history=_HISTORY, keys="vk") + """
-SELECT vk AS vendor_key, account_title, strftime(last_used_at, '%Y-%m-%d') AS last_used FROM n ORDER BY last_used_at DESC, use_count DESC, vk LIMIT 2000""")
+SELECT vk AS vendor_key, account_title, strftime(last_used_at, '%Y-%m-%d') AS last_used FROM n""")
 def newest_rules_global(spark, sf):
     return H.newest_rules_global(rule_history(spark, sf)).select(
         "vendor_key", "account_title", F.date_format("last_used_at", "yyyy-MM-dd").alias("last_used"))
@@ -221,8 +220,7 @@ m AS (SELECT ch.client_id, internal_name, freee_id, CASE WHEN mode = 'register'
 
 
 def master_changes(spark, sf):
-    raw(spark, sf, "customer").createOrReplaceTempView("_fx_customer")
-    return spark.sql(_CHANGES_SQL.replace("FROM customer", "FROM _fx_customer"))
+    return spark.sql(_CHANGES_SQL.replace("FROM customer", "FROM {customer}"), customer=raw(spark, sf, "customer"))
 
 
 @query("client_account_master", f"{_MASTER_SQL} SELECT client_id, internal_name, freee_id::bigint AS freee_id, mf_name, yayoi_name FROM m")

@@ -150,15 +150,14 @@ def audit_diff(spark, sf):
     return d.select("id", "change", show("status").alias("d_status"), show("tier").alias("d_tier"))
 
 
-_VERSIONS = """SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, o_orderstatus AS status, o_orderpriority AS priority FROM orders"""
+_VERSIONS = """SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) * (1 + o_custkey % 3) AS version, o_orderstatus AS status, o_orderpriority AS priority FROM orders"""
 
 
 @query("version_history", f"""
 WITH v AS ({_VERSIONS}) SELECT id, version, p IS NULL AS is_first, ((CASE WHEN ps IS DISTINCT FROM status THEN 1 ELSE 0 END) + (CASE WHEN pp IS DISTINCT FROM priority THEN 1 ELSE 0 END))::bigint AS changed
 FROM (SELECT *, lag(id) OVER w AS p, lag(status) OVER w AS ps, lag(priority) OVER w AS pp FROM v WINDOW w AS (PARTITION BY id ORDER BY version))""")
 def version_history(spark, sf):
-    raw(spark, sf, "orders").createOrReplaceTempView("_fx_orders")
-    log = spark.sql(_VERSIONS.replace("FROM orders", "FROM _fx_orders")).withColumn("version", F.col("version").cast("bigint"))
+    log = spark.sql(_VERSIONS.replace("FROM orders", "FROM {orders}"), orders=raw(spark, sf, "orders")).withColumn("version", F.col("version").cast("bigint"))
     h = AU.version_history(log, "id", "version", ["status", "priority"])
     return h.select("id", "version", "is_first", F.size("changes").cast("bigint").alias("changed"))
 

@@ -150,8 +150,6 @@ TAX_ALIASES = {
 
 # --- fixed values: suggestion confidences --------------------------------------------------------
 CONF_EXACT, CONF_PARTIAL, CONF_GLOBAL, CONF_KEYWORD, CONF_GIVEN, CONF_NO_VENDOR = 0.97, 0.85, 0.90, 0.70, 0.60, 0.30
-CLIENT_HISTORY_CAP = 500
-GLOBAL_HISTORY_CAP = 2000
 
 # --- fixed values: account and tax masters (name: freee, money_forward, yayoi) -------------------
 ACCOUNT_MASTER = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.functions.text import blank_to_null
@@ -30,13 +30,11 @@ def diff_frames(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def version_history(log: DataFrame, key: str, version: str, fields: list[str]) -> DataFrame:
-    """Each version with what changed since the one before. Versions of a record are numbered without gaps, so the
-    previous one is found by an equality join on (key, version - 1): a record with very many versions spreads out."""
+    """Each version with what changed since the one before, whatever numbers lie between them."""
     state = F.create_map(*[c for n in fields for c in (F.lit(n), F.col(n).cast("string"))])
-    cur = log.select(key, version, state.alias("_a"))
-    prev = log.select(key, (F.col(version) + 1).alias(version), state.alias("_b"))
-    return cur.join(prev, [key, version], "left").select(
-        key, version, F.col("_b").isNull().alias("is_first"), diff_maps(F.col("_b"), F.col("_a")).alias("changes"))
+    order = Window.partitionBy(key).orderBy(version)
+    cur = log.select(key, version, state.alias("_a")).withColumn("_b", F.lag("_a").over(order))
+    return cur.select(key, version, F.col("_b").isNull().alias("is_first"), diff_maps(F.col("_b"), F.col("_a")).alias("changes"))
 
 
 def audit_events(df: DataFrame, *, event_id: Column, at: Column, event_type: Column, user: Column, resource_type: Column,

@@ -51,8 +51,8 @@ def as_approvals(approved: DataFrame, at: Column) -> DataFrame:
     )
 
 
-def newest_rules(history: DataFrame, cap: int | None = C.CLIENT_HISTORY_CAP) -> DataFrame:
-    """Newest rule per (client, vendor key), newest first, at most ``cap`` per client.
+def newest_rules(history: DataFrame, cap: int | None = None) -> DataFrame:
+    """Newest rule per (client, vendor key); with ``cap`` the newest so many of each client, with their rank.
 
     The newest row per key is a max_by style aggregate (combines map-side); the cap is a row_number limit, which Spark
     applies within each input partition before the shuffle.
@@ -61,11 +61,11 @@ def newest_rules(history: DataFrame, cap: int | None = C.CLIENT_HISTORY_CAP) ->
     newest = keyed.groupBy("client_key", "vendor_key").agg(
         F.max(F.struct("last_used_at", "use_count", "vendor_name", "account_title", "tax_category")).alias("_r"))
     rows = newest.select("client_key", "vendor_key", "_r.*")
-    return _cap(rows, cap, "client_key", [F.desc("last_used_at"), F.desc("use_count"), F.asc("vendor_key")])
+    return rows if cap is None else _cap(rows, cap, "client_key", [F.desc("last_used_at"), F.desc("use_count"), F.asc("vendor_key")])
 
 
-def newest_rules_global(history: DataFrame, cap: int | None = C.GLOBAL_HISTORY_CAP) -> DataFrame:
-    """Newest rule per vendor key over all clients, at most ``cap`` of them (a top-k, kept by each task first)."""
+def newest_rules_global(history: DataFrame, cap: int | None = None) -> DataFrame:
+    """Newest rule per vendor key over all clients; with ``cap`` the newest so many (a top-k, kept by each task first)."""
     keyed = history.withColumn("vendor_key", vendor_key(F.col("vendor_name")))
     rows = keyed.groupBy("vendor_key").agg(
         F.max(F.struct("last_used_at", "use_count", "vendor_name", "account_title", "tax_category")).alias("_r")
@@ -73,11 +73,9 @@ def newest_rules_global(history: DataFrame, cap: int | None = C.GLOBAL_HISTORY_C
     return rows if cap is None else rows.orderBy(F.desc("last_used_at"), F.desc("use_count"), F.asc("vendor_key")).limit(cap)
 
 
-def top_per_client(history: DataFrame, cap: int = C.CLIENT_HISTORY_CAP) -> DataFrame:
-    """The ``cap`` most used history rows of every client, with a fixed tie order; adds ``rank``."""
-    w = Window.partitionBy("client_id").orderBy(
-        F.desc("use_count"), F.desc("last_used_at"), F.asc("vendor_name"), F.asc("account_title"))
-    return history.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
+def top_per_client(history: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most used history rows of every client, with a fixed tie order; adds ``rank``."""
+    return _cap(history, n, "client_id", [F.desc("use_count"), F.desc("last_used_at"), F.asc("vendor_name"), F.asc("account_title")])
 
 
 def top_history(history: DataFrame, client_id: str, limit: int = 50) -> DataFrame:
@@ -89,8 +87,6 @@ def top_history(history: DataFrame, client_id: str, limit: int = 50) -> DataFram
         "vendor_name", "account_title", "tax_category", "use_count", "last_used_at")
 
 
-def _cap(rows: DataFrame, cap: int | None, key: str, order: list[Column]) -> DataFrame:
+def _cap(rows: DataFrame, cap: int, key: str, order: list[Column]) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
-    if cap is None:
-        return rows
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)

@@ -15,14 +15,17 @@ PATCHABLE = [
 ]
 
 
-def apply_corrections(docs: DataFrame, extracted: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, extracted) after manual corrections: one patch row per document, NULL means unchanged.
+def apply_corrections(docs: DataFrame, extracted: DataFrame, patches: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, extracted) after manual corrections; NULL means unchanged. Several patches of a document are folded: each
+    field takes its last value by the column ``order``, or its greatest when there is none.
 
     A document without extracted data gets a row; patches for unknown documents are ignored. Approved documents go back
     to pending.
     """
     known = patches.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     fields = [c for c in PATCHABLE if c in patches.columns]
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c)
+    known = known.groupBy("document_id").agg(F.lit(1).alias("_n"), *[last(c).alias(c) for c in fields])
     renamed = known.select("document_id", F.lit(True).alias("_patched"), *[F.col(c).alias(f"_p_{c}") for c in fields])
     joined = extracted.join(renamed, "document_id", "full_outer")
     patched = F.coalesce(F.col("_patched"), F.lit(False))
@@ -43,14 +46,17 @@ def apply_corrections(docs: DataFrame, extracted: DataFrame, patches: DataFrame)
 
 
 def approve(docs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted documents, rejected requests with a reason). ``requests``: id, approved_by, approved_at."""
-    joined = requests.select("id", F.col("approved_by").alias("_by"), F.col("approved_at").alias("_at")).join(docs, "id", "left")
+    """(accepted documents, rejected requests with a reason). ``requests``: id, approved_by, approved_at. Of several requests for
+    one document the earliest counts, then the first name; the others are refused as repeated."""
+    first = requests.groupBy("id").agg(F.min(F.struct(F.col("approved_at").isNull(), "approved_at", "approved_by")).alias("_r"), F.count("*").alias("_n"))
+    joined = first.select("id", F.col("_r.approved_by").alias("_by"), F.col("_r.approved_at").alias("_at"), "_n").join(docs, "id", "left")
+    again = first.filter("_n > 1").select("id", F.explode(F.array_repeat(F.lit("repeated"), F.expr("int(_n - 1)"))).alias("reason"))
     open_ = F.coalesce(F.col("status").isin("pending", "uploaded"), F.lit(False))
     accepted = joined.filter(open_).withColumns({
         "status": F.lit("approved"), "approved_by": F.col("_by"), "approved_at": F.col("_at")}).select(*docs.columns)
     refused = joined.filter(~open_).select("id", F.when(F.col("status").isNull(), "not_found").otherwise(
         F.concat(F.lit("not_approvable:"), F.col("status"))).alias("reason"))
-    return accepted, refused
+    return accepted, refused.unionByName(again)
 
 
 def mark_extracted_approved(extracted: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -70,8 +76,10 @@ def auto_approve(df: DataFrame, at: Column) -> DataFrame:
 
 
 def reject(docs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Send back the requested documents. ``requests``: id, reason; without a reason the old error text stays."""
-    r = requests.select("id", F.lit(True).alias("_r"), blank_to_null(F.col("reason")).alias("_why"))
+    """Send back the requested documents. ``requests``: id, reason; without a reason the old error text stays. Several reasons for
+    one document are joined in alphabetical order."""
+    why = F.array_sort(F.collect_set(blank_to_null(F.col("reason"))))
+    r = requests.groupBy("id").agg(F.lit(True).alias("_r"), F.nullif(F.array_join(why, "; "), F.lit("")).alias("_why"))
     return docs.join(r, "id", "left").withColumns({
         "status": F.when(F.col("_r"), "rejected").otherwise(F.col("status")),
         "processing_error": F.coalesce(F.concat(F.lit("差し戻し: "), F.col("_why")), F.col("processing_error")),

@@ -31,7 +31,7 @@ def s(expr: str) -> str:
 
 
 VENDORS = [
-    "セブンマート", "東京タクシー", "スターバックス渋谷", "新宿レストランABC", "青空書店", "NTT通信サービス", "みどり薬局", "山田商店",
+    "セブンマート", "東京タクシー", "スターバックス金沢", "レストラン海風", "青空書店", "NTT通信サービス", "みどり薬局", "山田商店",
     "ホテル日和", "東京電力", "Amazon Market", "サンプル工業", "コクヨ文具", "ENEOS給油所", "イオンモール", "弁当デリカ",
 ]
 VENDOR_BASE = case(f"{K} % 16", [q(v) for v in VENDORS])

@@ -45,12 +45,15 @@ def test_totals(suites: DataFrame) -> DataFrame:
         "pass_rate", F.when(F.col("total") > 0, F.round(F.col("passed") / F.col("total") * 100, 1)).otherwise(F.lit(0.0)))
 
 
-def failed_cases(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
+def failed_cases(spark: SparkSession, path: str, message_length: int | None = None) -> DataFrame:
+    """Every failed or broken case below ``path`` with its report file; ``message_length`` cuts the message where it is given."""
     raw = spark.read.format("xml").option("rowTag", "testcase").option("mode", "PERMISSIVE").schema(CASE).load(path)
+    raw = raw.withColumn("file", same_path(F.input_file_name()))
     hit = F.coalesce(F.col("failure"), F.col("error"))
+    message = F.coalesce(hit["_message"], F.lit(""))
     return raw.filter("failure is not null or error is not null").select(
-        F.coalesce("_name", F.lit("")).alias("name"), F.coalesce("_classname", F.lit("")).alias("classname"),
-        F.substring(F.coalesce(hit["_message"], F.lit("")), 1, 200).alias("message")).limit(limit)
+        "file", F.coalesce("_name", F.lit("")).alias("name"), F.coalesce("_classname", F.lit("")).alias("classname"),
+        (message if message_length is None else F.substring(message, 1, message_length)).alias("message"))
 
 
 def read_test_report(spark: SparkSession, path: str) -> DataFrame:

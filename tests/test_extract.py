@@ -16,14 +16,14 @@ def fields(spark, texts, as_of="2024-06-30"):
 def test_samples(samples):
     got = {r.id: r for r in X.extract_fields(samples, "text", "2024-06-30").select("id", "fields.*").collect()}
     r, i, h, c = (got[k] for k in ("receipt", "invoice", "handwritten", "card"))
-    assert (r.transaction_date, r.total_amount, r.subtotal_amount) == (dt.date(2024, 3, 15), 620, 570)
-    assert (r.tax_amount_10, r.tax_amount_8, r.vendor_registration_no) == (22, 28, "T1234567890137")
-    assert r.vendor_name == "セブン-イレブン 渋谷店" and r.invoice_number == "1234567890137" and r.line_items == []
-    assert (i.transaction_date, i.total_amount, i.tax_amount_10) == (dt.date(2024, 3, 31), 660000, 60000)
-    assert i.vendor_name == "サンプル御中" and i.invoice_number == "2024-0315"
-    assert [(x.description, x.quantity, x.amount) for x in i.line_items] == [("システム開発費", 1, 500000), ("保守費用", 1, 100000)]
-    assert (h.transaction_date, h.total_amount) == (dt.date(2024, 3, 20), 3500)
-    assert c.total_amount == 17850 and c.invoice_number == "1234"
+    assert (r.transaction_date, r.total_amount, r.subtotal_amount) == (dt.date(2024, 5, 8), 550, 500)
+    assert (r.tax_amount_10, r.tax_amount_8, r.vendor_registration_no) == (50, None, "T7000012050002")
+    assert r.vendor_name == "みどり文具 北口店" and r.invoice_number == "7000012050002" and r.line_items == []
+    assert (i.transaction_date, i.total_amount, i.tax_amount_10) == (dt.date(2023, 11, 30), 220000, 20000)
+    assert i.vendor_name == "あおば設計" and i.invoice_number == "2023-1130"
+    assert [(x.description, x.quantity, x.amount) for x in i.line_items] == [("図面作成", 2, 160000), ("現地調査", 1, 40000)]
+    assert (h.transaction_date, h.total_amount) == (dt.date(2023, 7, 2), 4800)
+    assert c.total_amount == 12340 and c.invoice_number == "9876" and c.payment_method == "クレジットカード"
 
 
 DATES = [

@@ -76,3 +76,13 @@ def test_files_and_stream(spark, tmp_path):
         "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.original_filename, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(f"d{i}.jpg", 10) for i in range(3)]
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from docledger.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))

@@ -89,7 +89,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.join(small(wanted), "rid").select("class", "text").mapInArrow(run, "class long, n long, shingles array<long>")
 
 
-def _overlaps(pairs: DataFrame, segments: DataFrame, sizes: DataFrame) -> DataFrame:
+def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Links (a, b) among pairs: partial overlaps by fragment, summed per pair."""
     a = segments.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("of_a"))
     b = segments.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("of_b"))
@@ -100,36 +100,48 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, sizes: DataFrame) -> DataFr
     )
 
 
-def _near_size(n: Column, m: Column) -> Column:
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+def _possible(hub: str) -> Column:
+    """Whether a row may link to the hub: shingles that no other class has cannot be in common."""
+    most = F.least(F.col("held"), F.col(f"{hub}.held"))
+    return 100 * most >= PERCENT * (F.col("n") + F.col(f"{hub}.n") - most)
 
 
-def _links(ordered: DataFrame) -> DataFrame | None:
+#: n / held of two classes that link add up to this at most, with room for rounding.
+SUM_OF_RATIOS = (100 + PERCENT) / PERCENT + 1e-9
+
+
+def _links(ordered: DataFrame) -> DataFrame:
     """(node, label): components of classes with more than one member; ordered: (class, n, unique, order) with the shared
-    shingles as (level, h), rare first."""
+    shingles as (level, h), rare first.
+
+    Members are chosen by ratio, n to held shingles, least first: a text with few shingles of its own can link to many, while
+    two with many of their own cannot link to each other. Rows that the group's least ratio rules out go.
+    """
     segments = keep(
         ordered.select("class", F.explode("order").alias("o")).groupBy("class", F.col("o.level").alias("fragment")).agg(F.collect_list("o.h").alias("shingles")), "segments"
     )  # a class's own shingles, at most one text's words
     prefix = F.expr(f"int(n - (n * {PERCENT} + 99) div 100 + 1 - unique)")
-    rows = keep(ordered.filter(prefix > 0).select("class", "n", F.explode(F.slice("order", 1, prefix)).alias("o")).select("o.h", "class", "n"), "prefixes")
-    hubs = rows.groupBy("h").agg(F.min(F.struct("class", "n")).alias("hub"))
-    first = rows.join(keep(hubs, "hubs"), "h").filter((F.col("class") != F.col("hub.class")) & _near_size(F.col("n"), F.col("hub.n")))
+    held = (F.col("n") - F.col("unique")).alias("held")
+    own = ("h", "class", "n", "held", "ratio")
+    rows = ordered.filter(prefix > 0).select("class", "n", held, (F.col("n") / held).alias("ratio"), F.explode(F.slice("order", 1, prefix)).alias("o"))
+    rows = keep(rows.select("o.h", *own[1:]), "prefixes")
+    hubs = rows.groupBy("h").agg(F.min(F.struct("ratio", "class", "n", "held")).alias("hub"))
+    first = rows.join(keep(hubs, "hubs"), "h").filter((F.col("class") != F.col("hub.class")) & _possible("hub"))
     first = first.groupBy("class", "n", F.col("hub.class").alias("b"), F.col("hub.n").alias("nb")).count()
     first = first.groupBy("class", "n").agg(F.max_by(F.struct("b", "nb"), F.struct("count", "b")).alias("best"))
     pairs = first.select(F.col("class").alias("a"), F.col("best.b").alias("b"), F.col("n").alias("na"), F.col("best.nb").alias("nb"))
-    links = keep(_overlaps(keep(pairs, "pairs"), segments, rows), "links")
+    links = keep(_overlaps(keep(pairs, "pairs"), segments), "links")
     salts = 1
     while True:
         labels = components(links)
-        live = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        live = keep(live, "live")
-        mixed = live.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
-        live = keep(live.join(keep(mixed, "mixed"), "h", "left_semi"), "live")
+        live = keep(rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")), "live")
+        mixed = keep(live.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("ratio").alias("best")).filter("low < high").select("h", "best"), "mixed")
+        live = keep(live.join(mixed, "h").filter(F.col("ratio") + F.col("best") <= SUM_OF_RATIOS).drop("best"), "live")
         if live.isEmpty():
             return labels
         spot = F.pmod(F.xxhash64("class", F.lit(salts)), F.lit(salts))
-        hubs = keep(live.groupBy("h", spot.alias("spot")).agg(F.min(F.struct("class", "n", "label")).alias("hub")).select("h", "hub"), "hubs")
-        pairs = live.join(hubs, "h").filter((F.col("label") != F.col("hub.label")) & _near_size(F.col("n"), F.col("hub.n")))
+        hubs = keep(live.groupBy("h", spot.alias("spot")).agg(F.min(F.struct("ratio", "class", "n", "held", "label")).alias("hub")).select("h", "hub"), "hubs")
+        pairs = live.join(hubs, "h").filter((F.col("label") != F.col("hub.label")) & _possible("hub"))
         less = F.col("class") < F.col("hub.class")
         pairs = pairs.select(
             F.when(less, F.col("class")).otherwise(F.col("hub.class")).alias("a"),
@@ -137,9 +149,9 @@ def _links(ordered: DataFrame) -> DataFrame | None:
             F.when(less, F.col("n")).otherwise(F.col("hub.n")).alias("na"),
             F.when(less, F.col("hub.n")).otherwise(F.col("n")).alias("nb"),
         ).distinct()
-        links = keep(links.unionByName(_overlaps(keep(pairs, "pairs"), segments, rows)), "links")
+        links = keep(links.unionByName(_overlaps(keep(pairs, "pairs"), segments)), "links")
         done = hubs.select("h", F.col("hub.class").alias("class"))
-        rows = keep(live.join(done, ["h", "class"], "left_anti").select("h", "class", "n"), "prefixes")
+        rows = keep(live.join(done, ["h", "class"], "left_anti").select(*own), "prefixes")
         salts *= 4
 
 
@@ -148,7 +160,7 @@ def _grouped(rows: DataFrame, k: int) -> DataFrame:
     kind = rows.schema["key"].dataType.simpleString()
     all_rows = keep(_classes(rows, k, kind), "classes")
     known = all_rows.filter(F.col("n") > 0)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)  # a few bytes for each shingle
 
     def screen(column: pa.Array) -> tuple[list[np.ndarray], list[int]]:
         sets = shingle_sets(column, k)

@@ -35,10 +35,18 @@ def scan_files(spark, sf):
     return FI.as_documents(page_files(spark, sf), job_id="job1").select("id", "original_filename", "file_size_bytes", "mime_type", "content_hash", "batch_job_id")
 
 
-@query("list_files")
+_STORED_TABLES = ("customer", "documents", "events", "lineitem", "orders", "pages", "part", "supplier")
+
+
+@query("list_files", " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS n_rows FROM {t}" for t in _STORED_TABLES))
 def list_files(spark, sf):
-    """Names and sizes of the stored files, bytes untouched."""
-    return FI.list_files(spark, sf, "*.parquet").select(FI.file_name(F.col("path")).alias("name"), F.col("length").alias("size"))
+    """The stored table files, with the rows that each one holds."""
+    listed = FI.list_files(spark, sf, "*.parquet").select(FI.file_name(F.col("path")).alias("name"))
+    counts = [raw(spark, sf, t).agg(F.count("*").alias("n_rows")).select(F.lit(f"{t}.parquet").alias("name"), "n_rows") for t in _STORED_TABLES]
+    rows = counts[0]
+    for more in counts[1:]:
+        rows = rows.unionByName(more)
+    return listed.join(rows, "name")
 
 
 @query("filter_supported", f"SELECT {_PAGE_NAME} AS name, CASE WHEN page_id % 4 IN (2, 3) THEN 'unsupported_extension' WHEN strlen(html) > 1048576 THEN 'too_large' END AS reject_reason FROM pages")
@@ -246,7 +254,10 @@ _UPLOADS = [
     "CASE WHEN event_type = 'error' THEN 'boom' END AS processing_error"]
 
 
-@query("stream_throughput")
+@query("stream_throughput", """
+SELECT * FROM (SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, CASE event_type WHEN 'error' THEN 'uploaded' WHEN 'purchase' THEN 'approved' ELSE 'pending' END AS status,
+  count(*) AS documents, count(*) FILTER (event_type = 'error') AS failures FROM events
+  WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes' GROUP BY 1, 2)""")
 def stream_throughput(spark, sf):
     """Windowed counts in append mode: a window is written once the watermark has passed it."""
     s = _table_stream(spark, sf, "events").selectExpr(*_UPLOADS)
@@ -263,10 +274,11 @@ def window_throughput(spark, sf):
     return STR.stream_throughput(s, window="1 hour").select(stamp("window_start").alias("window_start"), "status", "documents", "failures")
 
 
-@query("stream_dedupe")
+@query("stream_dedupe", "SELECT DISTINCT sha256(cast(value AS varchar)) AS content_hash FROM events")
 def stream_dedupe(spark, sf):
+    """One document per content hash; which of them is open, so hashes are compared."""
     s = _table_stream(spark, sf, "events").selectExpr(*_UPLOADS)
-    return _to_parquet(STR.stream_dedupe(s, "1 hour").select("id", "content_hash"), spark, "dedupe")
+    return _to_parquet(STR.stream_dedupe(s, "1 hour").select("content_hash"), spark, "dedupe")
 
 
 @query("stream_learn", f"""

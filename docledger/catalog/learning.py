@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docledger import constants as C
 from docledger.catalog.base import num, query, stamp
+from docledger.functions.vendor import vendor_key
 from docledger.operators import accounts as A
 from docledger.operators import history as H
 from docledger.operators import rules as RU
@@ -140,6 +141,18 @@ def normalize_tax_category(spark, sf):
         F.col("tax_category").alias("raw_label"), RU.normalize_tax(F.col("tax_category")).alias("label"))
 
 
+_AZ, _WIDE_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(0xFF21 + i) for i in range(26))
+_WRITTEN = f"CASE p_partkey % 3 WHEN 0 THEN '㈱　' || translate(upper(p_name), '{_AZ}', '{_WIDE_AZ}') WHEN 1 THEN 'ｶﾞｽ ' || p_name ELSE '山田商店ガス ' || p_name END"
+
+
+@query("vendor_key", f"""
+SELECT p_partkey, {_WRITTEN} AS vendor_name, CASE p_partkey % 3 WHEN 0 THEN '(株)' WHEN 1 THEN 'ガス' ELSE '山田商店ガス' END || lower(regexp_replace(p_name, '\\s+', '', 'g')) AS vendor_key FROM part""")
+def vendor_keys(spark, sf):
+    """Names with wide letters, wide spaces, a company sign and half-width kana."""
+    p = raw(spark, sf, "part").selectExpr("p_partkey", f"{_WRITTEN} AS vendor_name")
+    return p.withColumn("vendor_key", vendor_key(F.col("vendor_name")))
+
+
 # --- history --------------------------------------------------------------------------------------
 @query("history_rank", f"""
 SELECT client_id, vendor_name, use_count, rank FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY use_count DESC, last_used_at DESC, vendor_name, account_title) AS rank FROM ({fx.HISTORY_SQL}))
@@ -292,3 +305,11 @@ SELECT document_id, 'debit' AS side, debit_account AS account, coalesce(total_am
 UNION ALL SELECT document_id, 'credit', credit_account, -coalesce(total_amount, 0)::double FROM e JOIN x USING (document_id)""")
 def ledger_lines(spark, sf):
     return A.ledger_lines(_journal(spark, sf)).select("document_id", "side", "account", num("signed_amount").alias("signed_amount"))
+
+
+@query("unbalanced", f"""
+WITH x AS ({fx.EXTRACTED_SQL}) SELECT document_id, coalesce(total_amount, 0)::double AS balance FROM x WHERE coalesce(total_amount, 0) <> 0 AND document_id < '8'""")
+def unbalanced(spark, sf):
+    """Journals of half the documents have lost their credit side."""
+    lines = A.ledger_lines(_journal(spark, sf)).filter("side = 'debit' OR document_id >= '8'")
+    return A.unbalanced(lines).select("document_id", num("balance").alias("balance"))

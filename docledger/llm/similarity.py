@@ -160,7 +160,7 @@ def _grouped(rows: DataFrame, k: int) -> DataFrame:
     kind = rows.schema["key"].dataType.simpleString()
     all_rows = keep(_classes(rows, k, kind), "classes")
     known = all_rows.filter(F.col("n") > 0)
-    parts = max(4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)  # a few bytes for each shingle
+    parts = max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)  # a few bytes for each shingle
 
     def screen(column: pa.Array) -> tuple[list[np.ndarray], list[int]]:
         sets = shingle_sets(column, k)

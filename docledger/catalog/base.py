@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docledger.session import tune
-
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
@@ -18,12 +15,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         assert name not in QUERIES, name
 
-        @wraps(fn)
-        def run(spark, sf):
-            tune(spark)
-            return fn(spark, sf)
-
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
         return fn

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docledger import constants as C
 from docledger.functions.text import blank_to_null
 
 CHANGE = "struct<before:string,after:string>"
@@ -55,6 +56,11 @@ def change_events(pairs: DataFrame, **columns) -> DataFrame:
     return audit_events(pairs, detail=diff_maps(F.col("before"), F.col("after")), **columns)
 
 
+def unknown_events(events: DataFrame) -> DataFrame:
+    """Audit rows whose event type is none of the fixed ones."""
+    return events.filter(~F.coalesce(F.col("event_type").isin(C.AUDIT_EVENTS), F.lit(False)))
+
+
 def write_jsonl(events: DataFrame, path: str) -> None:
     """Append the events as JSON lines, partitioned by day."""
     events.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").option("ignoreNullFields", "false").json(path)

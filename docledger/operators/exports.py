@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docledger import constants as C
-from docledger.functions.text import blank_to_null, lookup
+from docledger.functions.text import blank_to_null, lookup, strip
 
 
 def safe_date(col: Column, fmt: str = "yyyy/MM/dd") -> Column:
@@ -58,7 +58,7 @@ def money_forward_rows(docs: DataFrame, extracted: DataFrame) -> DataFrame:
     p, c = pair(docs, extracted), _shared()
     label = F.when(c["has10"], "課税仕入10%").otherwise("課税仕入8%")
     tax = F.when(c["tax"] != 0, safe_amount(c["tax"])).otherwise("")
-    summary, e = F.trim(F.concat(c["vendor"], F.lit(" "), c["file"])), c["none"]
+    summary, e = strip(F.concat(c["vendor"], F.lit(" "), c["file"])), c["none"]
     return _cells(p, C.MF_HEADERS, [
         c["date"], c["debit"], e, e, label, c["amount"], tax, c["credit"], e, e, e, c["amount"], e, summary, c["no"]])
 

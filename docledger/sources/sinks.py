@@ -3,6 +3,8 @@ finished lines are encoded by the tasks that hold them."""
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -56,10 +58,19 @@ def _writer(base: str, heads: list[str], encoding: str, max_rows: int, errors: s
     return run
 
 
+def _on_default_store(df: DataFrame, path: str) -> str:
+    """A path without a scheme belongs to the session's default file system, not to each executor's disk."""
+    if "://" in path:
+        return path
+    default = df.sparkSession.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return path if default.startswith("file:") else f"{default.rstrip('/')}/{path.lstrip('/')}"
+
+
 def write_export(
     docs: DataFrame, extracted: DataFrame, fmt: str, path: str, *, max_rows: int = 1_000_000, files: int | None = None, errors: str = "strict",
 ) -> DataFrame:
-    """Write one format below ``path`` as ``client=<id>/part-*.csv`` and return the files with their row counts.
+    """Write one format below ``path`` as ``run=<new id>/client=<id>/part-*.csv`` and return the files with their row counts. Each
+    call has a run folder of its own, so files of an earlier run are never mixed in.
 
     Rows are range partitioned by (client, date, id), so a very large client becomes several complete files, each with its
     own header, and small clients share a task. A retried task replaces its own files. Counting the result runs the job.
@@ -68,6 +79,7 @@ def write_export(
     keys = ["client_id", "transaction_date", "id"]
     ranged = lines.repartitionByRange(files, *keys) if files else lines.repartitionByRange(*keys)
     _, heads, encoding = DIALECTS[fmt]
+    path = f"{_on_default_store(docs, path).rstrip('/')}/run={uuid.uuid4().hex}"
     return ranged.sortWithinPartitions(*keys).select("client_id", "line").mapInPandas(_writer(path, heads, encoding, max_rows, errors), WRITTEN)
 
 

@@ -25,6 +25,10 @@ def main() -> None:
     spark = local_session("docledger-bench", cores=cpus, partitions=int(cpus) if cpus.isdigit() else 8)
     tune(spark)
     spark.read.parquet(f"{sf}/orders.parquet").selectExpr("sum(o_totalprice)").collect()
+    warm = sf.rsplit("sf", 1)[0] + "sf0.001"
+    if os.path.isdir(warm):  # code is generated and compiled before the clock starts
+        for name in HEADLINE:
+            QUERIES[name](spark, warm).write.format("noop").mode("overwrite").save()
     took = {}
     for name in HEADLINE:
         start = time.perf_counter()

@@ -7,8 +7,8 @@ A window is a run of SIZE words. A window is taken out of a document when it als
 2. Recurring passages are confirmed: windows with shared anchors are grouped by a hash of their words, and one that stands
    under two keys belongs to the smallest, its owner. The owner's text gives the passages: runs of windows that it owns.
 3. Passages are compiled into sharded automata over word numbers, one pattern per window, by owner, so a shard has a bounded
-   size. A document streams whole through the shards whose owners it shares a window with; a shard that very many documents go
-   to is copied for parts of them. The automata compare words, not hashes, and report every occurrence.
+   size. A document streams through the shards whose owners it shares a window with, from the first to the last such window; a
+   shard that very many documents go to is copied for parts of them. The automata compare words, not hashes, and report every occurrence.
 
 A text whose words all equal those of a text with a smaller key is recognised as a whole and not streamed.
 """
@@ -32,9 +32,9 @@ from docledger.session import keep
 
 SIZE = 13
 PHRASE = 6
-#: Windows in one automaton, about 70 MB, and in one piece of a passage.
-SHARD_WINDOWS = 50_000
-PIECE_WINDOWS = 5_000
+#: Windows in one automaton, about 50 MB, and in one piece of a passage.
+SHARD_WINDOWS = 12_000
+PIECE_WINDOWS = 4_000
 #: Documents that stream through one copy of a shard.
 COPY_DOCUMENTS = 4_000
 
@@ -100,7 +100,8 @@ def _all_texts(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def _windows(texts: DataFrame, kind: str, size: int, parts: int) -> DataFrame:
-    """(rid, key, window) of the windows with shared anchors in texts (rid, key, text, shared), once per text."""
+    """(rid, key, window, lo, hi) of the windows with shared anchors in texts (rid, key, text, shared), once per text, with the
+    places of their first and last word runs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,19 +111,38 @@ def _windows(texts: DataFrame, kind: str, size: int, parts: int) -> DataFrame:
                 h, _ = phrases(w, size)
                 cuts = np.searchsorted(at, w.first)
                 codes = code(a, parts)
-                of, found = [], []
+                of, found, lo, hi = [], [], [], []
                 for i in range(part.num_rows):
                     own = slice(cuts[i], cuts[i + 1])
-                    hit = np.isin(codes[own], part.column(3)[i].values.to_numpy(zero_copy_only=False))
-                    got = np.unique(h[at[own][hit]])
+                    places = at[own][np.isin(codes[own], part.column(3)[i].values.to_numpy(zero_copy_only=False))]
+                    got, first = np.unique(h[places], return_index=True)
+                    _, last = np.unique(h[places[::-1]], return_index=True)
                     of.append(np.full(len(got), i))
                     found.append(got)
-                of = np.concatenate(of)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(np.concatenate(found).view(np.int64))], ["rid", "key", "window"]
-                )
+                    lo.append((places[first] - w.first[i]).astype(np.int32))
+                    hi.append((places[::-1][last] - w.first[i]).astype(np.int32))
+                of = pa.array(np.concatenate(of))
+                numbers = pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(lo)), pa.array(np.concatenate(hi))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *numbers], ["rid", "key", "window", "lo", "hi"])
+
+    return texts.mapInArrow(run, f"rid long, key {kind}, window long, lo int, hi int")
+
+
+def _stretches(visits: DataFrame, kind: str, size: int) -> DataFrame:
+    """Rows (shard, copy, rid, key, text, lo, hi) as documents for `_stream`: the words from the first window at lo to the end of
+    the one at hi, between which all that the shard can find lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 4):
+                w = words(part.column(4))
+                first = w.start[w.first[:-1] + part.column(5).to_numpy()]
+                last = w.end[w.first[:-1] + part.column(6).to_numpy() + size - 1]
+                body = pa.array([w.data[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())
+                ones = pa.array(np.ones(part.num_rows, np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ones, part.column(2), part.column(3), body, part.column(5)], ["shard", "copy", "part", "rid", "key", "body", "lo"])
 
-    return texts.mapInArrow(run, f"rid long, key {kind}, window long")
+    return visits.mapInArrow(run, f"shard long, copy int, part int, rid long, key {kind}, body binary, lo int")
 
 
 def _passages(owners: DataFrame, kind: str, size: int) -> DataFrame:
@@ -156,30 +176,44 @@ def _passages(owners: DataFrame, kind: str, size: int) -> DataFrame:
 
 
 class Shard:
-    """An automaton over the words of its passages. Word 0 stands for all others."""
+    """An automaton over the words of its passages.
 
-    def __init__(self, size: int):
-        import ahocorasick
+    A word is three letters, the digits of its number, each from its own alphabet: a node then has few children, which the
+    automaton searches one by one, and a match can only begin at a word. A word of no passage is three letters of no alphabet.
+    """
 
-        self.size, self.number, self.owners = size, {}, []
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self.made = False
+    def __init__(self, size: int):
+        self.size, self.passages, self.automaton = size, [], None
 
     def add(self, owner, passage: bytes) -> None:
-        number = self.number
-        ids = [number.setdefault(x, len(number) + 1) for x in passage.split()]
-        self.owners.append(owner)
-        for i in range(len(ids) - self.size + 1):
-            self.automaton.add_word(tuple(ids[i : i + self.size]), len(self.owners) - 1)
+        self.passages.append((owner, passage.split()))
+
+    def make(self) -> None:
+        import ahocorasick
+
+        number: dict[bytes, int] = {}
+        for _, words_of in self.passages:
+            for x in words_of:
+                number.setdefault(x, len(number))
+        base = max(2, int(np.ceil(len(number) ** (1 / 3))) + 1)
+        first, second, third = ([chr(256 + base * place + digit) for digit in range(base)] for place in range(3))
+        self.letters = {x: first[n // base // base] + second[n // base % base] + third[n % base] for x, n in number.items()}
+        self.automaton, width = ahocorasick.Automaton(ahocorasick.STORE_INTS), 3 * self.size
+        for i, (_, words_of) in enumerate(self.passages):
+            told = "".join([self.letters[x] for x in words_of])
+            for at in range(0, len(told) - width + 1, 3):
+                self.automaton.add_word(told[at : at + width], i)
+        self.automaton.make_automaton()
+        self.owners = [owner for owner, _ in self.passages]
+        self.passages = []
 
     def occurrences(self, key, text: bytes) -> list[int]:
-        """Starts of windows of owners with smaller keys."""
-        if not self.made:
-            self.automaton.make_automaton()
-            self.made = True
-        ids = tuple(map(self.number.get, text.split(), repeat(0)))
+        """Starts of windows of owners with smaller keys, counted in words."""
+        if self.automaton is None:
+            self.make()
+        told = "".join(map(self.letters.get, text.split(), repeat("\x01\x01\x01")))
         owners, back = self.owners, self.size - 1
-        return [end - back for end, owner in self.automaton.iter(ids) if owners[owner] < key]
+        return [end // 3 - back for end, owner in self.automaton.iter(told) if owners[owner] < key]
 
 
 def _runs(starts: np.ndarray, size: int) -> tuple[list[int], list[int]]:
@@ -193,20 +227,20 @@ def _runs(starts: np.ndarray, size: int) -> tuple[list[int], list[int]]:
 
 
 def _stream(mixed: DataFrame, kind: str, size: int) -> DataFrame:
-    """(rid, spans) of sorted rows (shard, copy, part, rid, key, body): passages (part 0), then documents."""
+    """(rid, spans) of sorted rows (shard, copy, part, rid, key, body, lo): passages (part 0), then documents from word lo on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = None, None
         for batch in batches:
             rid, spans = [], []
-            for s, c, part, r, key, body in zip(*(batch.column(i) for i in range(6)), strict=True):
+            for s, c, part, r, key, body, lo in zip(*(batch.column(i) for i in range(7)), strict=True):
                 if (s, c) != at:
                     at, shard = (s, c), Shard(size)
                 body = body.as_py()
                 if part.as_py() == 0:
                     shard.add(key.as_py(), body)
                 else:
-                    starts = np.array(shard.occurrences(key.as_py(), body), np.int64)
+                    starts = np.array(shard.occurrences(key.as_py(), body), np.int64) + lo.as_py()
                     if len(starts):
                         rid.append(r.as_py())
                         spans.append([{"start": x, "length": y} for x, y in zip(*_runs(starts, size), strict=True)])
@@ -271,21 +305,22 @@ def _repeats(docs: DataFrame, size: int, key: str, text: str, texts: bool) -> Da
     windows = _windows(some, kind, size, parts)
     owners = windows.groupBy("window").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter("owner < last")
     owners = keep(owners.select("window", "owner"), "owners")
-    routes = keep(windows.join(owners, "window").filter(F.col("key") > F.col("owner")).select("rid", "owner").distinct(), "routes")
+    routes = windows.join(owners, "window").filter(F.col("key") > F.col("owner")).groupBy("rid", "owner").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    routes = keep(routes, "routes")
     owned = owners.groupBy("owner").agg(F.collect_list("window").alias("owned"))  # at most one key's own windows
     passages = keep(_passages(owned.join(some.select(F.col("key").alias("owner"), "text"), "owner").select("owner", "text", "owned"), kind, size), "passages")
 
     total = passages.agg(F.sum("windows")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WINDOWS))
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner", "piece"), F.lit(shards)))
-    visits = routes.join(passages.select("owner", "shard").distinct(), "owner").select("rid", "shard").distinct()
+    passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner", "piece"), F.lit(shards)).cast("long"))
+    visits = routes.join(passages.select("owner", "shard").distinct(), "owner").groupBy("rid", "shard").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     visits = keep(visits, "visits")
     copies_of = keep(visits.groupBy("shard").agg(F.ceil(F.count("*") / COPY_DOCUMENTS).cast("int").alias("copies")), "shards")
-    streamed = visits.join(copies_of, "shard").withColumn("copy", F.pmod(F.xxhash64("rid"), F.col("copies")).cast("int")).join(some.select("rid", "key", "text"), "rid")
-    streamed = streamed.select("shard", "copy", F.lit(1).alias("part"), "rid", "key", F.encode("text", "utf-8").alias("body"))
+    visits = keep(visits.join(copies_of, "shard").withColumn("copy", F.pmod(F.xxhash64("rid"), F.col("copies")).cast("int")), "visits")
+    streamed = some.select("rid", "key", "text").join(small(visits), "rid").select("shard", "copy", "rid", "key", "text", "lo", "hi")
     compiled = passages.join(copies_of, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    compiled = compiled.select("shard", "copy", F.lit(0).alias("part"), F.lit(-1).cast("long").alias("rid"), F.col("owner").alias("key"), F.col("passage").alias("body"))
-    mixed = compiled.unionByName(streamed).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "part")
+    compiled = compiled.select("shard", "copy", F.lit(0).alias("part"), F.lit(-1).cast("long").alias("rid"), F.col("owner").alias("key"), F.col("passage").alias("body"), F.lit(0).alias("lo"))
+    mixed = compiled.unionByName(_stretches(streamed, kind, size)).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "part")
     spans = keep(_stream(mixed, kind, size).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
     cut = _cut(some.select("rid", "text").join(spans, "rid").select("rid", "text", "spans"))

@@ -147,9 +147,11 @@ def _descend(pos: np.ndarray, unl: np.ndarray, prior: float | None) -> tuple[np.
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     """Share of positives among unlabelled scores: below any score t the unlabelled texts hold at least the positives' share,
-    so the least ratio of the tails above t bounds it from above. Tails of under 30 % of the positives are left out as too noisy."""
+    so the least ratio of the tails above t bounds it from above. Tails of under 30 % of the positives are left
+    out as too noisy, and each tail is moved by its standard error, as the least of many noisy ratios is too small."""
     cuts = np.quantile(pos, np.linspace(0, 0.7, 36))
-    ratios = [(unl >= t).mean() / max((pos >= t).mean(), 1e-9) for t in cuts]
+    tail = lambda x, t, side: (x >= t).mean() + side * np.sqrt((x >= t).mean() * (x < t).mean() / len(x))  # noqa: E731  one standard error
+    ratios = [tail(unl, t, 1) / max(tail(pos, t, -1), 1e-9) for t in cuts]
     return float(np.clip(min(ratios), 0.02, 0.98))
 
 

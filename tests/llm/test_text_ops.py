@@ -102,6 +102,16 @@ def test_fingerprints_estimate_jaccard(spark):
     assert (FP.signatures(pa.array([texts[0], texts[0]]))[0] == a[0]).all()
 
 
+@pytest.mark.parametrize(("n", "common"), [(20_000, 0), (100_000, 0), (100_000, 50_000)])
+def test_fingerprints_of_long_texts(n, common):
+    """Each word is a term of its own, however many a text has, and kept numbers are those worked out anew."""
+    texts = pa.array([" ".join(f"a{i}" for i in range(n)), " ".join([f"a{i}" for i in range(common)] + [f"b{i}" for i in range(n - common)])])
+    FP._kept.cache_clear()
+    a = FP.signatures(texts, 256)
+    assert abs(FP.likeness(a[:1], a[1:])[0] - common / (2 * n - common)) < (0.12 if common else 0.01)
+    assert (FP.signatures(texts, 256) == a).all()
+
+
 def test_next_document(spark):
     r = random.Random(4)
     docs = [(i * 3, "".join(r.choice("abé🙂 \n") for _ in range(r.randint(0, 60)))) for i in range(200)]

@@ -24,8 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that near-copy links connect, the document with the smallest doc_id stays."""
-    return one_of_each(docs)
+    """Of each group that near-copy links connect, the document with the smallest doc_id stays. Two documents are near copies
+    when their sets of five-word shingles have 80 hundredths of their union in common."""
+    return one_of_each(docs, k=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,59 +89,56 @@ def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return rows.join(small(wanted), "rid").select("class", "text").mapInArrow(run, "class long, n long, shingles array<long>")
 
 
-def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) among pairs: partial overlaps by fragment, summed per pair."""
     a = segments.select(F.col("class").alias("a"), "fragment", F.col("shingles").alias("of_a"))
     b = segments.select(F.col("class").alias("b"), "fragment", F.col("shingles").alias("of_b"))
     partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("of_a", "of_b")).alias("part"))
     both = F.col("common")
     return (
-        partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common")).filter(100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)).select("a", "b")
+        partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common")).filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
     )
 
 
-def _possible(hub: str) -> Column:
+def _possible(hub: str, percent: int) -> Column:
     """Whether a row may link to the hub: shingles that no other class has cannot be in common."""
     most = F.least(F.col("held"), F.col(f"{hub}.held"))
-    return 100 * most >= PERCENT * (F.col("n") + F.col(f"{hub}.n") - most)
+    return 100 * most >= percent * (F.col("n") + F.col(f"{hub}.n") - most)
 
 
-#: n / held of two classes that link add up to this at most, with room for rounding.
-SUM_OF_RATIOS = (100 + PERCENT) / PERCENT + 1e-9
-
-
-def _links(ordered: DataFrame) -> DataFrame:
+def _links(ordered: DataFrame, percent: int) -> DataFrame:
     """(node, label): components of classes with more than one member; ordered: (class, n, unique, order) with the shared
     shingles as (level, h), rare first.
 
     Members are chosen by ratio, n to held shingles, least first: a text with few shingles of its own can link to many, while
     two with many of their own cannot link to each other. Rows that the group's least ratio rules out go.
     """
+    sum_of_ratios = (100 + percent) / percent + 1e-9  # n / held of two classes that link add up to this at most, with room for rounding
     segments = keep(
         ordered.select("class", F.explode("order").alias("o")).groupBy("class", F.col("o.level").alias("fragment")).agg(F.collect_list("o.h").alias("shingles")), "segments"
     )  # a class's own shingles, at most one text's words
-    prefix = F.expr(f"int(n - (n * {PERCENT} + 99) div 100 + 1 - unique)")
+    prefix = F.expr(f"int(n - (n * {percent} + 99) div 100 + 1 - unique)")
     held = (F.col("n") - F.col("unique")).alias("held")
     own = ("h", "class", "n", "held", "ratio")
     rows = ordered.filter(prefix > 0).select("class", "n", held, (F.col("n") / held).alias("ratio"), F.explode(F.slice("order", 1, prefix)).alias("o"))
     rows = keep(rows.select("o.h", *own[1:]), "prefixes")
     hubs = rows.groupBy("h").agg(F.min(F.struct("ratio", "class", "n", "held")).alias("hub"))
-    first = rows.join(keep(hubs, "hubs"), "h").filter((F.col("class") != F.col("hub.class")) & _possible("hub"))
+    first = rows.join(keep(hubs, "hubs"), "h").filter((F.col("class") != F.col("hub.class")) & _possible("hub", percent))
     first = first.groupBy("class", "n", F.col("hub.class").alias("b"), F.col("hub.n").alias("nb")).count()
     first = first.groupBy("class", "n").agg(F.max_by(F.struct("b", "nb"), F.struct("count", "b")).alias("best"))
     pairs = first.select(F.col("class").alias("a"), F.col("best.b").alias("b"), F.col("n").alias("na"), F.col("best.nb").alias("nb"))
-    links = keep(_overlaps(keep(pairs, "pairs"), segments), "links")
+    links = keep(_overlaps(keep(pairs, "pairs"), segments, percent), "links")
     salts = 1
     while True:
         labels = components(links)
         live = keep(rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")), "live")
         mixed = keep(live.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("ratio").alias("best")).filter("low < high").select("h", "best"), "mixed")
-        live = keep(live.join(mixed, "h").filter(F.col("ratio") + F.col("best") <= SUM_OF_RATIOS).drop("best"), "live")
+        live = keep(live.join(mixed, "h").filter(F.col("ratio") + F.col("best") <= sum_of_ratios).drop("best"), "live")
         if live.isEmpty():
             return labels
         spot = F.pmod(F.xxhash64("class", F.lit(salts)), F.lit(salts))
         hubs = keep(live.groupBy("h", spot.alias("spot")).agg(F.min(F.struct("ratio", "class", "n", "held", "label")).alias("hub")).select("h", "hub"), "hubs")
-        pairs = live.join(hubs, "h").filter((F.col("label") != F.col("hub.label")) & _possible("hub"))
+        pairs = live.join(hubs, "h").filter((F.col("label") != F.col("hub.label")) & _possible("hub", percent))
         less = F.col("class") < F.col("hub.class")
         pairs = pairs.select(
             F.when(less, F.col("class")).otherwise(F.col("hub.class")).alias("a"),
@@ -149,13 +146,13 @@ def _links(ordered: DataFrame) -> DataFrame:
             F.when(less, F.col("n")).otherwise(F.col("hub.n")).alias("na"),
             F.when(less, F.col("hub.n")).otherwise(F.col("n")).alias("nb"),
         ).distinct()
-        links = keep(links.unionByName(_overlaps(keep(pairs, "pairs"), segments)), "links")
+        links = keep(links.unionByName(_overlaps(keep(pairs, "pairs"), segments, percent)), "links")
         done = hubs.select("h", F.col("hub.class").alias("class"))
         rows = keep(live.join(done, ["h", "class"], "left_anti").select(*own), "prefixes")
         salts *= 4
 
 
-def _grouped(rows: DataFrame, k: int) -> DataFrame:
+def _grouped(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """(rid, key, n, group) of numbered rows (rid, key, text): rows with one group are linked; without words it is null."""
     kind = rows.schema["key"].dataType.simpleString()
     all_rows = keep(_classes(rows, k, kind), "classes")
@@ -167,7 +164,7 @@ def _grouped(rows: DataFrame, k: int) -> DataFrame:
         return [s[: np.searchsorted(s, EDGE)] for s in sets], [signature(s) for s in sets]
 
     shared = keep(shared_hashes(rows.select("rid", "text"), screen, parts, counted=True), "shared")
-    spare = F.expr(f"n - (n * {PERCENT} + 99) div 100")
+    spare = F.expr(f"n - (n * {percent} + 99) div 100")
     alive = known.join(shared, "rid").filter(F.col("screened") - F.col("shared") <= spare)
     alive = alive.unionByName(known.filter(F.col("screened") <= spare).withColumn("shared", F.lit(0).cast("long")))
     wanted = keep(alive.groupBy("class").agg(F.min("rid").alias("rid")), "wanted")
@@ -177,31 +174,31 @@ def _grouped(rows: DataFrame, k: int) -> DataFrame:
     level = F.floor(F.log2("df")).cast("int")
     ordered = each.join(often, "h").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct(level.alias("level"), "h"))).alias("order"))
     ordered = keep(ordered.withColumn("unique", F.col("n") - F.size("order")).filter(F.col("unique") <= spare), "ordered")
-    labels = keep(_links(ordered).select(F.col("node").alias("class"), "label"), "groups")
+    labels = keep(_links(ordered, percent).select(F.col("node").alias("class"), "label"), "groups")
     told = known.select("rid", "key", "class", "n").join(labels, "class", "left").select("rid", "key", "n", F.coalesce("label", "class").alias("group"))
     return told.unionByName(all_rows.filter(F.col("n") == 0).select("rid", "key", "n", F.lit(None).cast("long").alias("group")))
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every row: component_id is the smallest key that links reach.
 
-    Two rows link when their sets of k-word shingles (A-Z in lower case) have at least PERCENT hundredths of their union in
+    Two rows link when their sets of k-word shingles (A-Z in lower case) have at least `percent` hundredths of their union in
     common. Rows without words, null texts among them, link with nothing and are their own component. Repeated rows each give a
     row. A null key never names a component unless no other key is in it. Other columns are not read.
     """
-    told = keep(_grouped(numbered(docs, key=F.col(key), text=F.col(text)), k), "grouped")
+    told = keep(_grouped(numbered(docs, key=F.col(key), text=F.col(text)), k, percent), "grouped")
     least = keep(told.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min("key").alias("least")), "least")
     linked = told.filter(F.col("group").isNotNull()).join(least, "group").select("key", "n", F.col("least").alias("component_id"))
     alone = told.filter(F.col("group").isNull()).select("key", "n", F.col("key").alias("component_id"))
     return linked.unionByName(alone).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, with one row of each component: the one with the smallest key, of equal keys the first.
     Rows without words all stay."""
     rows = numbered(docs, **{f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
     at = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
-    told = keep(_grouped(rows.select("rid", at[key].alias("key"), at[text].alias("text")), k).filter(F.col("group").isNotNull()), "grouped")
+    told = keep(_grouped(rows.select("rid", at[key].alias("key"), at[text].alias("text")), k, percent).filter(F.col("group").isNotNull()), "grouped")
     first = keep(told.groupBy("group").agg(F.min(F.struct(F.col("key").isNull(), "key", "rid")).alias("first")).select("group", F.col("first.rid").alias("first")), "first")
     gone = keep(told.join(first, "group").filter(F.col("rid") != F.col("first")).select("rid"), "gone")
     return rows.join(small(gone), "rid", "left_anti").select(*[c.alias(n) for n, c in at.items()])

@@ -83,7 +83,7 @@ def test_repeats_odd_rows(spark):
     assert R.find_repeats(docs.limit(0)).count() == 0
 
 
-def brute_components(rows, k=4):
+def brute_components(rows, k=4, percent=85):
     sets = {}
     for i, t, *_ in rows:
         w = split((t or "").translate(LOW))
@@ -97,7 +97,7 @@ def brute_components(rows, k=4):
 
     for a in sorted(sets):
         for b in sorted(sets):
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((top(a), top(b)))
                 up[y] = x
     return {i: (len(s), top(i)) for i, s in sets.items()}
@@ -138,6 +138,23 @@ def test_one_of_each(spark):
     assert S.one_of_each(docs.limit(0)).count() == 0 and S.join_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("k", "percent"), [(5, 80), (3, 60)])
+def test_jaccard_join_at_other_thresholds(spark, k, percent):
+    rows = corpus(9)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in S.join_components(spark.createDataFrame(rows, SCHEMA).repartition(3), k=k, percent=percent).collect()}
+    assert got == brute_components(rows, k, percent)
+
+
+def test_near_copies_stage(spark):
+    """A text with a fifth of its length appended is a near copy by five words and 0.8."""
+    import corpus_pipeline
+
+    w = [f"w{i}" for i in range(120)]
+    docs = spark.createDataFrame([(1, " ".join(w[:100]), 0, "", 0), (2, " ".join(w), 0, "", 0), (3, " ".join(w[:90] + [f"x{i}" for i in range(40)]), 0, "", 0)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [1, 3]
+    assert len({r.component_id for r in S.join_components(docs).collect()}) == 3
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (200, 100)]
     got = {r.node: r.label for r in G.components(spark.createDataFrame(edges, "a long, b long")).collect()}

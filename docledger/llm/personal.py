@@ -60,25 +60,34 @@ def _luhn(digits: Column) -> Column:
     return F.when(n.between(13, 19), total % 10 == 0).otherwise(False)
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(rid, kind, loose, match, start, end, left, right) of every match in rows (rid, text); left and right are short."""
-    text = F.col("text")
+def _spelled(text: Column) -> Column:
+    """Whether a text has a part that an address spelled with at and dot may be made of."""
+    return text.contains("(at)") | text.contains("[at]") | text.contains(" dot ") | text.contains("(dot)") | text.contains("[dot]")
+
+
+def guards(text: Column) -> dict[tuple[str, bool], Column]:
+    """By kind and loose or not, a cheap condition that holds for every text in which the pattern matches."""
     digit = text.rlike("[0-9]")
-    guard = {
+    return {
         ("email", False): text.contains("@"),
         ("ip", False): digit & text.rlike(r"[0-9]\.[0-9]"),
         ("card", False): digit & text.rlike(r"[0-9](?:[ -]?[0-9]){12}"),
         ("phone", False): text.contains("+") & digit,
-        ("email", True): text.contains("(at)") | text.contains("[at]") | text.contains(" dot "),
+        ("email", True): _spelled(text),
         ("phone", True): digit & text.rlike(r"[0-9][ .-][0-9]{3,4}(?![0-9A-Za-z])"),
     }
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(rid, kind, loose, match, start, end, left, right) of every match in rows (rid, text); left and right are short."""
+    text = F.col("text")
     none = F.array().cast("array<string>")
     tries = []
-    for (kind, loose), when in guard.items():
+    for (kind, loose), when in guards(text).items():
         p = F.lit((LOOSE if loose else BASE)[kind])
         found, between = F.regexp_extract_all("text", p, F.lit(0)), F.split("text", p, F.lit(-1))
         tries.append(F.struct(F.lit(kind).alias("kind"), F.lit(loose).alias("loose"), F.when(when, found).otherwise(none).alias("found"), F.when(when, between).otherwise(none).alias("between")))
-    some = rows.filter(digit | text.contains("@") | text.contains("(at)") | text.contains("[at]") | text.contains(" dot "))
+    some = rows.filter(text.rlike("[0-9]") | text.contains("@") | _spelled(text))
     each = some.select("rid", F.explode(F.array(*tries)).alias("t")).filter(F.size("t.found") > 0)
     zipped = F.arrays_zip(F.col("t.found").alias("match"), F.col("t.between").alias("gap"), F.slice("t.between", F.lit(2), F.size("t.between")).alias("next"))
     each = each.select("rid", "t.kind", "t.loose", F.posexplode(zipped).alias("at", "z")).filter(F.col("z.match").isNotNull())

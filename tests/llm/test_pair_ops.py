@@ -231,6 +231,22 @@ def test_personal_data(spark):
             assert s["base"] or not any(x["base"] and x["start"] < s["end"] and s["start"] < x["end"] for x in got[i])
 
 
+def test_guards_hold_wherever_patterns_match(spark):
+    r = random.Random(6)
+    ats, dots = ["(at)", " (at) ", "[at]", " [at]", " at "], ["(dot)", " (dot) ", "[dot]", "[dot] ", " dot "]
+    texts = [f"jane{a}example{d}com" for a in ats for d in dots]
+    parts = [*ats, *dots, "jane", "example", "com", "@", ".", "12", "555", "5551", "4111", "+49", " ", "-", "(030)", "\n", "é"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    texts += ["4111 1111 1111 1111", "1.2.3.4", "+49 30 1234567", "555-123-4567", "a@b.co"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").cache()
+    for (kind, loose), guard in P.guards(F.col("text")).items():
+        matches = docs.filter(F.col("text").rlike((P.LOOSE if loose else P.BASE)[kind]))
+        assert matches.count() and not matches.filter(~guard).collect(), (kind, loose)
+    found = P.candidates(docs.filter("rid < 25")).filter("kind = 'email' and loose")
+    assert sorted(x.match for x in found.collect()) == sorted(texts[:25])
+    docs.unpersist()
+
+
 def test_mask(spark):
     rows = [(1, "mail a@b.co or 1.2.3.4!", 3, "keep", 5), (2, None, 3, "keep", 5), (3, "🙂 +49 30 1234567", 3, "k", 5), (3, "nothing", 3, "k", 5)]
     docs = spark.createDataFrame(rows, SCHEMA)

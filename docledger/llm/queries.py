@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docledger.llm.align import align_documents
+from docledger.llm.binary import read_documents, write_sequences
 from docledger.llm.decontaminate import find_contamination
 from docledger.llm.fingerprints import compare_with_next
 from docledger.llm.html import extract
@@ -21,6 +23,8 @@ from docledger.llm.quality import score as score_quality
 from docledger.llm.similarity import join_components
 from docledger.llm.substrings import find_repeats
 from docledger.llm.tokens import count_tokens
+from docledger.llm.whiten import whiten
+from docledger.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -145,3 +149,22 @@ def op9(spark, sf):
 def op10(spark, sf):
     pieces = pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op11_whitening")
+def op11(spark, sf):
+    return whiten(table(spark, sf, "embeddings"))
+
+
+@query("op12_align_tokenizers")
+def op12(spark, sf):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    told = align_documents(table(spark, sf, "documents"), *paths)
+    return told.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"), "n_overlaps")
+
+
+@query("op13_sequence_files")
+def op13(spark, sf):
+    docs = table(spark, sf, "documents")
+    manifest = write_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), scratch_folder(spark, "sequences"))
+    return read_documents(manifest)

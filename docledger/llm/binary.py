@@ -1,8 +1,9 @@
 """Token ids in Arrow files of equal-length sequences.
 
 A part is two files. `part-….arrow` is Arrow's stream of record batches in its file form, with the footer that tells where each
-batch starts: columns `ids` and `mask`, fixed-size lists of `length` numbers, BATCH rows a batch. Sequence i is row i % BATCH of
-batch i // BATCH, so a memory-mapped file gives any sequence or mask as a numpy view, without reading or copying the rest.
+batch starts: columns `ids` and `mask`, fixed-size lists of `length` numbers or bits, BATCH rows a batch. Sequence i is row i % BATCH of
+batch i // BATCH, so a memory-mapped file gives any sequence as a numpy view and any mask as an Arrow view, without reading or
+copying the rest. Ids take 16 bits where the vocabulary allows.
 `part-….index.arrow` has a row per document: its key, where its ids start in the part and how many there are. Only the last
 sequence of a part is padded, with mask 0.
 
@@ -16,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,27 +34,58 @@ BATCH = 256
 PART_BYTES = 64 << 20
 
 
+#: A space, letters, and punctuation behind them: two pre-tokens, or one without punctuation.
+PLAIN = re.compile("( ?[A-Za-z]+)([.,;:!?]*)")
+
+
 class Ids:
     """Ids of texts, unit by unit, from a worker's bounded memory."""
 
     def __init__(self, path: str):
         self.tokenizer, self.apart = tokenizer_at(path), cut_by(path)
+        self.model = self.tokenizer.model
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = self.apart and not any(PLAIN.fullmatch(t) for t in special)
+        self.known = Numbers()
         self._clear()
 
     def _clear(self) -> None:
         self.known, self.flat, self.used = Numbers(), np.zeros(1 << 16, np.uint32), 0
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words: dict[str, list[int]] = {}
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of one pre-token: the merge model takes it as it is, with the letter that byte-level vocabularies write for a space."""
+        got = self.words.get(word)
+        if got is None:
+            got = self.words[word] = [t.id for t in self.model.tokenize(word.replace(" ", "Ġ"))]
+        return got
+
+    def _ids(self, units: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = [None] * len(units)
+        rest = []
+        for i, unit in enumerate(units):
+            told = PLAIN.fullmatch(unit) if self.plain else None
+            if told is None:
+                rest.append(i)
+            else:
+                word, tail = told.groups()
+                out[i] = self._word(word) + self._word(tail) if tail else self._word(word)
+        if rest:
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
 
     def _learn(self) -> None:
-        new = self.known.take()
+        new = [x[0] if type(x) is tuple else " " + x for x in self.known.take()]
         if not new:
             return
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        got = self._ids(new)
         count = np.fromiter(map(len, got), np.int64, len(got))
         size = int(count.sum())
         while self.used + size > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used : self.used + size] = np.fromiter((i for g in got for i in g), np.uint32, size)
+        self.flat[self.used : self.used + size] = np.fromiter(chain.from_iterable(got), np.uint32, size)
         self.first = np.concatenate([self.first, self.used + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.used += size
@@ -61,13 +94,12 @@ class Ids:
         """Flat ids of all texts, and how many each has."""
         if self.known.full:
             self._clear()
-        number, own = self.known.__getitem__, []
-        units = []
+        number, own, units = self.known.__getitem__, [], []
         for text in texts:
             head, *rest = parts_of(text, self.apart)
             own.append(len(units))
-            units.append(number(head))
-            units.extend(map(number, map(" ".__add__, rest)))
+            units.append(number((head,)))
+            units.extend(map(number, rest))
         self._learn()
         at = np.array(units, np.int64)
         count = self.count[at]
@@ -97,9 +129,9 @@ def store(folder: str):
 class SequenceWriter:
     """Appends documents to one part; memory stays at a batch of sequences and one document."""
 
-    def __init__(self, fs, path: str, key: pa.DataType, length: int):
-        self.length, self.rows = length, BATCH * length
-        cell = pa.list_(pa.uint32(), length), pa.list_(pa.uint8(), length)
+    def __init__(self, fs, path: str, key: pa.DataType, length: int, kind: np.dtype):
+        self.length, self.rows, self.kind = length, BATCH * length, kind
+        cell = pa.list_(pa.from_numpy_dtype(kind), length), pa.list_(pa.bool_(), length)
         self.schema = pa.schema([("ids", cell[0]), ("mask", cell[1])])
         self.index_schema = pa.schema([("key", key), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sink, self.index_sink = fs.open_output_stream(f"{path}.arrow"), fs.open_output_stream(f"{path}.index.arrow")
@@ -123,16 +155,16 @@ class SequenceWriter:
             flat = np.concatenate(self.held)
             whole = len(flat) // self.rows * self.rows
             for a in range(0, whole, self.rows):
-                self._write(flat[a : a + self.rows], np.ones(self.rows, np.uint8))
+                self._write(flat[a : a + self.rows], np.ones(self.rows, bool))
             self.held = [flat[whole:].copy()]
             self.waiting = len(flat) - whole
 
     def close(self) -> None:
         if self.waiting:
             size = -(-self.waiting // self.length) * self.length
-            ids, mask = np.zeros(size, np.uint32), np.zeros(size, np.uint8)
+            ids, mask = np.zeros(size, self.kind), np.zeros(size, bool)
             ids[: self.waiting] = np.concatenate(self.held)
-            mask[: self.waiting] = 1
+            mask[: self.waiting] = True
             self._write(ids, mask)
         for x in (self.file, self.index, self.sink, self.index_sink):
             x.close()
@@ -152,22 +184,22 @@ class SequenceFile:
         self.sequences = (batches - 1) * BATCH + self.file.get_batch(batches - 1).num_rows if batches else 0
         self._at, self._views = -1, None
 
-    def _batch(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+    def _batch(self, b: int) -> tuple[np.ndarray, pa.FixedSizeListArray]:
         if self._at != b:
             got = self.file.get_batch(b)
-            self._views = tuple(c.flatten().to_numpy().reshape(-1, self.length) for c in got.columns)
+            self._views = got.column(0).flatten().to_numpy().reshape(-1, self.length), got.column(1)
             self._at = b
         return self._views
 
     def __len__(self) -> int:
         return self.sequences
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if not -self.sequences <= i < self.sequences:
             raise IndexError(i)
         i %= self.sequences
         ids, mask = self._batch(i // BATCH)
-        return ids[i % BATCH], mask[i % BATCH]
+        return ids[i % BATCH], mask[i % BATCH].values
 
     def pieces(self, start: int, count: int) -> Iterator[np.ndarray]:
         """The ids from token start on, one view for each batch they touch."""
@@ -200,6 +232,8 @@ def write_sequences(
     parts = max(1, -(-size // part_bytes))
     order = F.col("key").asc_nulls_first(), F.xxhash64("text").asc()
     folder = f"{folder.rstrip('/')}/run={uuid.uuid4().hex}"
+    known = tokenizer_at(tokenizer_path).get_vocab(with_added_tokens=True)
+    kind_of_id = np.dtype(np.uint16 if max(end_id, *known.values()) < 1 << 16 else np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = store(folder)
@@ -209,10 +243,10 @@ def write_sequences(
                 if out is None:
                     name = f"part-{task:06d}-{uuid.uuid4().hex[:12]}"
                     fs.create_dir(root, recursive=True)
-                    out = SequenceWriter(fs, f"{root}/{name}", batch.schema.field(0).type, length)
+                    out = SequenceWriter(fs, f"{root}/{name}", batch.schema.field(0).type, length, kind_of_id)
                 ids, count = ids_of.encode(piece.column(1).to_pylist())
                 ends = np.cumsum(count + 1)
-                closed = np.full(int(ends[-1]), end_id, np.uint32)
+                closed = np.full(int(ends[-1]), end_id, kind_of_id)
                 closed[spread(ends - count - 1, count)] = ids
                 out.add(piece.column(0), closed, count + 1)
         if out is not None:
@@ -252,7 +286,7 @@ def read_documents(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                     for start, count in zip(index.column(1).to_pylist(), index.column(2).to_pylist(), strict=True):
                         value = 0
                         for ids in part.pieces(start, count):
-                            value = zlib.crc32(ids.astype("<u4", copy=False), value)
+                            value = zlib.crc32(ids.astype("<u4"), value)
                         crc.append(value)
                     start = index.column(1).to_numpy() + told["start"]
                     yield pa.RecordBatch.from_arrays([index.column(0), pa.array(start), index.column(2), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])

@@ -14,28 +14,29 @@ from functools import cache
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A worker's memory is cleared once it holds so many units or so many characters.
-UNITS, LETTERS = 400_000, 16_000_000
+UNITS, LETTERS = 800_000, 16_000_000
 
 
 class Numbers(dict):
-    """Numbers for keys, given out as they are asked for; `new` lists the keys since the last look."""
+    """Numbers for keys, given out as they are asked for; `new` lists the keys since the last look. A unit is its own key; a
+    text's first unit, which no space precedes, may be told apart as (unit,)."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[str] = []
+        self.new: list[str | tuple[str]] = []
         self.letters = 0
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key: str | tuple[str]) -> int:
         n = self[key] = len(self)
         self.new.append(key)
-        self.letters += len(key)
+        self.letters += len(key[0]) if type(key) is tuple else len(key)
         return n
 
     @property
     def full(self) -> bool:
         return len(self) > UNITS or self.letters > LETTERS
 
-    def take(self) -> list[str]:
+    def take(self) -> list[str | tuple[str]]:
         new, self.new = self.new, []
         return new
 

@@ -17,7 +17,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docledger.llm.units import Numbers, cut_by, parts_of, tokenizer_at
+from docledger.llm.units import Ids, tokenizer_at
 from docledger.llm.words import slices, spread
 
 #: Sequences in a record batch.
@@ -34,79 +33,6 @@ BATCH = 256
 PART_BYTES = 64 << 20
 
 
-#: A space, letters, and punctuation behind them: two pre-tokens, or one without punctuation.
-PLAIN = re.compile("( ?[A-Za-z]+)([.,;:!?]*)")
-
-
-class Ids:
-    """Ids of texts, unit by unit, from a worker's bounded memory."""
-
-    def __init__(self, path: str):
-        self.tokenizer, self.apart = tokenizer_at(path), cut_by(path)
-        self.model = self.tokenizer.model
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain = self.apart and not any(PLAIN.fullmatch(t) for t in special)
-        self.known = Numbers()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known, self.flat, self.used = Numbers(), np.zeros(1 << 16, np.uint32), 0
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.words: dict[str, list[int]] = {}
-
-    def _word(self, word: str) -> list[int]:
-        """Ids of one pre-token: the merge model takes it as it is, with the letter that byte-level vocabularies write for a space."""
-        got = self.words.get(word)
-        if got is None:
-            got = self.words[word] = [t.id for t in self.model.tokenize(word.replace(" ", "Ġ"))]
-        return got
-
-    def _ids(self, units: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(units)
-        rest = []
-        for i, unit in enumerate(units):
-            told = PLAIN.fullmatch(unit) if self.plain else None
-            if told is None:
-                rest.append(i)
-            else:
-                word, tail = told.groups()
-                out[i] = self._word(word) + self._word(tail) if tail else self._word(word)
-        if rest:
-            for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = e.ids
-        return out
-
-    def _learn(self) -> None:
-        new = [x[0] if type(x) is tuple else " " + x for x in self.known.take()]
-        if not new:
-            return
-        got = self._ids(new)
-        count = np.fromiter(map(len, got), np.int64, len(got))
-        size = int(count.sum())
-        while self.used + size > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used : self.used + size] = np.fromiter(chain.from_iterable(got), np.uint32, size)
-        self.first = np.concatenate([self.first, self.used + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.used += size
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts, and how many each has."""
-        if self.known.full:
-            self._clear()
-        number, own, units = self.known.__getitem__, [], []
-        for text in texts:
-            head, *rest = parts_of(text, self.apart)
-            own.append(len(units))
-            units.append(number((head,)))
-            units.extend(map(number, rest))
-        self._learn()
-        at = np.array(units, np.int64)
-        count = self.count[at]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        return self.flat[spread(self.first[at], count)], np.diff(ends[[*own, len(units)]])
-
-
 _encoders: dict[str, Ids] = {}
 
 
@@ -244,7 +170,7 @@ def write_sequences(
                     name = f"part-{task:06d}-{uuid.uuid4().hex[:12]}"
                     fs.create_dir(root, recursive=True)
                     out = SequenceWriter(fs, f"{root}/{name}", batch.schema.field(0).type, length, kind_of_id)
-                ids, count = ids_of.encode(piece.column(1).to_pylist())
+                ids, count = ids_of.encode(piece.column(1))
                 ends = np.cumsum(count + 1)
                 closed = np.full(int(ends[-1]), end_id, kind_of_id)
                 closed[spread(ends - count - 1, count)] = ids

@@ -120,23 +120,26 @@ def test_units_encode_as_the_whole_text():
     texts = noise(4000, 1) + [None, "", " ", "  a  b ", "x" * 100_000, "end of file <|endoftext|> a"]
     tokenizer = Tokenizer.from_file(BYTE)
     assert U.cut_by(BYTE) and not U.cut_by(WORD)
-    ids = B.Ids(BYTE)
+    ids = U.Ids(BYTE)
     for a in range(0, len(texts), 700):  # several turns, so that remembered units are used too
-        flat, count = ids.encode(texts[a : a + 700])
+        flat, count = ids.encode(pa.array(texts[a : a + 700], pa.string()))
         ends = np.cumsum(count)
         for t, e, n in zip(texts[a : a + 700], ends, count, strict=True):
             assert flat[e - n : e].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
-    flat, count = B.Ids(WORD).encode(texts[:200])
+    flat, count = U.Ids(WORD).encode(pa.array(texts[:200], pa.string()))
     tokenizer = Tokenizer.from_file(WORD)
     assert flat.tolist() == [i for t in texts[:200] for i in tokenizer.encode(t, add_special_tokens=False).ids]
 
 
 def test_memory_of_units_is_bounded(monkeypatch):
-    monkeypatch.setattr(U, "UNITS", 50)
-    ids, tokenizer = B.Ids(BYTE), Tokenizer.from_file(BYTE)
-    for text in (" ".join(f"w{i * 37 + j}" for j in range(40)) for i in range(20)):
-        assert ids.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-        assert len(ids.known) <= 90
+    """Also with texts that alone are more than it holds."""
+    monkeypatch.setattr(U, "POOL", 500)
+    ids, tokenizer = U.Ids(BYTE), Tokenizer.from_file(BYTE)
+    for i in range(60):
+        texts = [" ".join(f"w{i * 37 + j}, and" for j in range(40 if i % 7 else 400)), None, "a\u00a0 b", "a \u00a0b  "]
+        flat, count = ids.encode(pa.array(texts))
+        assert flat.tolist() == [x for t in texts for x in tokenizer.encode(t or "", add_special_tokens=False).ids] and count[1] == 0
+        assert len(ids.pool) == 500 and ids.used <= 500
 
 
 def plain_documents(rows, end):

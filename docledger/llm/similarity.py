@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docledger.llm.graph import components, small
 from docledger.llm.rows import numbered
-from docledger.llm.shared import NONE, shared_hashes, signature
+from docledger.llm.shared import NONE, buckets_for, shared_hashes, signature
 from docledger.llm.words import LOWER, WHITE, mix, phrases, slices, words
 from docledger.session import keep
 
@@ -157,7 +157,7 @@ def _grouped(rows: DataFrame, k: int, percent: int) -> DataFrame:
     kind = rows.schema["key"].dataType.simpleString()
     all_rows = keep(_classes(rows, k, kind), "classes")
     known = all_rows.filter(F.col("n") > 0)
-    parts = max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)  # a few bytes for each shingle
+    parts = buckets_for(all_rows.agg(F.sum("screened")).first()[0])
 
     def screen(column: pa.Array) -> tuple[list[np.ndarray], list[int]]:
         sets = shingle_sets(column, k)

@@ -10,7 +10,8 @@ A window is a run of SIZE words. A window is taken out of a document when it als
    size. A document streams through the shards whose owners it shares a window with, from the first to the last such window; a
    shard that very many documents go to is copied for parts of them. The automata compare words, not hashes, and report every occurrence.
 
-A text whose words all equal those of a text with a smaller key is recognised as a whole and not streamed.
+A text whose words all equal those of a text with a smaller key is recognised as a whole, by its number of words, a hash and the
+sha256 of its words, and neither sends anchors nor streams: of a group of copies one text does, for all.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docledger.llm.graph import small
-from docledger.llm.rows import numbered
-from docledger.llm.shared import NONE, code, shared_hashes
+from docledger.llm.rows import keep_by, numbered, without
+from docledger.llm.shared import NONE, buckets_for, code, shared_hashes
 from docledger.llm.words import Words, mix, phrases, slices, words
 from docledger.session import keep
 
@@ -37,6 +38,8 @@ SHARD_WINDOWS = 12_000
 PIECE_WINDOWS = 4_000
 #: Documents that stream through one copy of a shard.
 COPY_DOCUMENTS = 4_000
+#: About so many bytes of text in one bucket of the texts that go on.
+PART_BYTES = 64 << 20
 
 
 def _anchors(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,12 +149,12 @@ def _stretches(visits: DataFrame, kind: str, size: int) -> DataFrame:
 
 
 def _passages(owners: DataFrame, kind: str, size: int) -> DataFrame:
-    """(owner, piece, passage, windows) of rows (owner, text, owned window hashes): runs of owned windows, in pieces."""
+    """(owner_rid, owner, piece, passage, windows) of rows (owner_rid, owner, text, owned window hashes): runs of owned windows, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                w = words(part.column(1))
+            for part in slices(batch, 2):
+                w = words(part.column(2))
                 h, whole = phrases(w, size)
                 out = [], [], [], []
                 for i in range(part.num_rows):
@@ -159,7 +162,7 @@ def _passages(owners: DataFrame, kind: str, size: int) -> DataFrame:
                     _, first = np.unique(h[a:b], return_index=True)  # a window that the text repeats is one pattern
                     once = np.zeros(b - a, bool)
                     once[first] = True
-                    own = once & np.isin(h[a:b].view(np.int64), part.column(2)[i].values.to_numpy(zero_copy_only=False))
+                    own = once & np.isin(h[a:b].view(np.int64), part.column(3)[i].values.to_numpy(zero_copy_only=False))
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
                     for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                         for p in range(s, e, PIECE_WINDOWS):
@@ -167,12 +170,11 @@ def _passages(owners: DataFrame, kind: str, size: int) -> DataFrame:
                             x, y = w.start[a + p], w.end[a + q + size - 2]
                             for column, value in zip(out, (i, len(out[0]), w.data[x:y].tobytes(), q - p), strict=True):
                                 column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64())],
-                    ["owner", "piece", "passage", "windows"],
-                )
+                of = pa.array(out[0], pa.int64())
+                told = pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *told], ["owner_rid", "owner", "piece", "passage", "windows"])
 
-    return owners.mapInArrow(run, f"owner {kind}, piece long, passage binary, windows long")
+    return owners.mapInArrow(run, f"owner_rid long, owner {kind}, piece long, passage binary, windows long")
 
 
 class Shard:
@@ -294,30 +296,35 @@ def _repeats(docs: DataFrame, size: int, key: str, text: str, texts: bool) -> Da
     rows = numbered(docs, key=F.col(key), text=F.col(text))
     every = keep(_all_texts(rows, kind), "texts")
 
-    first = keep(every.filter(F.col("n_words") >= size).groupBy("sequence").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last"), "first")
-    copies = keep(every.join(first, "sequence").filter((F.col("key") > F.col("first")) & (F.col("n_words") >= size)).select("rid"), "copies")
+    alike = ["sequence", "n_words", "sha"]
+    long = every.filter(F.col("n_words") >= size)
+    first = keep(long.groupBy(*alike).agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last"), "first")
+    copies = keep(long.join(first, alike).filter(F.col("key") > F.col("first")).select("rid"), "copies")
 
-    shared = shared_hashes(rows.select("rid", "text"), lambda column: (_anchor_sets(column, size), []), parts, counted=False)
-    shared = keep(shared.join(copies, "rid", "left_anti"), "shared")
+    sent = without(rows.select("rid", "text"), copies)  # one text of each group of copies, or those of one key, speaks for all
+    words_of = long.agg(F.sum("n_words"), F.sum(F.col("n_words") * 8)).first()
+    buckets, parts = buckets_for((words_of[0] or 0) // 5), max(parts, -(-(words_of[1] or 0) // PART_BYTES))
+    shared = keep(shared_hashes(sent, lambda column: (_anchor_sets(column, size), []), buckets, counted=False), "shared")
     some = rows.filter(F.col("key").isNotNull()).join(small(shared.select("rid")), "rid", "left_semi")
-    some = keep(some.join(shared, "rid").select("rid", "key", "text", "shared"), "some")
+    some = some.repartition(parts, "rid").join(shared.repartition(parts, "rid"), "rid").select("rid", "key", "text", "shared")
+    some = keep_by(some, "rid", "some", parts)
 
-    windows = _windows(some, kind, size, parts)
-    owners = windows.groupBy("window").agg(F.min("key").alias("owner"), F.max("key").alias("last")).filter("owner < last")
-    owners = keep(owners.select("window", "owner"), "owners")
-    routes = windows.join(owners, "window").filter(F.col("key") > F.col("owner")).groupBy("rid", "owner").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    windows = _windows(some, kind, size, buckets)
+    owners = windows.groupBy("window").agg(F.min(F.struct("key", "rid")).alias("owner"), F.max("key").alias("last")).filter("owner.key < last")
+    owners = keep(owners.select("window", F.col("owner.key").alias("owner"), F.col("owner.rid").alias("owner_rid")), "owners")
+    routes = windows.join(owners, "window").filter(F.col("key") > F.col("owner")).groupBy("rid", "owner_rid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     routes = keep(routes, "routes")
-    owned = owners.groupBy("owner").agg(F.collect_list("window").alias("owned"))  # at most one key's own windows
-    passages = keep(_passages(owned.join(some.select(F.col("key").alias("owner"), "text"), "owner").select("owner", "text", "owned"), kind, size), "passages")
+    owned = owners.groupBy(F.col("owner_rid").alias("rid")).agg(F.collect_list("window").alias("owned"))  # at most one text's own windows
+    passages = keep(_passages(some.join(owned, "rid").select(F.col("rid").alias("owner_rid"), F.col("key").alias("owner"), "text", "owned"), kind, size), "passages")
 
     total = passages.agg(F.sum("windows")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WINDOWS))
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner", "piece"), F.lit(shards)).cast("long"))
-    visits = routes.join(passages.select("owner", "shard").distinct(), "owner").groupBy("rid", "shard").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner_rid", "piece"), F.lit(shards)).cast("long"))
+    visits = routes.join(passages.select("owner_rid", "shard").distinct(), "owner_rid").groupBy("rid", "shard").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     visits = keep(visits, "visits")
     copies_of = keep(visits.groupBy("shard").agg(F.ceil(F.count("*") / COPY_DOCUMENTS).cast("int").alias("copies")), "shards")
     visits = keep(visits.join(copies_of, "shard").withColumn("copy", F.pmod(F.xxhash64("rid"), F.col("copies")).cast("int")), "visits")
-    streamed = some.select("rid", "key", "text").join(small(visits), "rid").select("shard", "copy", "rid", "key", "text", "lo", "hi")
+    streamed = some.select("rid", "key", "text").join(visits, "rid").select("shard", "copy", "rid", "key", "text", "lo", "hi")
     compiled = passages.join(copies_of, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     compiled = compiled.select("shard", "copy", F.lit(0).alias("part"), F.lit(-1).cast("long").alias("rid"), F.col("owner").alias("key"), F.col("passage").alias("body"), F.lit(0).alias("lo"))
     mixed = compiled.unionByName(_stretches(streamed, kind, size)).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "part")

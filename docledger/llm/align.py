@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docledger.llm.graph import BROADCAST_ROWS, small
 from docledger.llm.tokens import proof
-from docledger.llm.units import Numbers, cut_by, parts_of, tokenizer_at
+from docledger.llm.units import Merger, Numbers, cut_by, parts_of
 from docledger.llm.words import slices, spread
 from docledger.session import keep
 
@@ -107,15 +107,15 @@ class ByteLevel:
     """Side A: a byte-level tokenizer of the tokenizers library. Strings of special tokens are plain text."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.apart = tokenizer_at(path, special=False), cut_by(path)
+        self.merger, self.apart = Merger(path, special=False), cut_by(path)
         of = byte_letters()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        vocabulary = self.merger.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             self.bytes[i] = bytes([of[c] for c in piece]) if all(c in of for c in piece) else piece.encode()
 
     def encode(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        return self.merger.ids([" " + u for u in units])
 
 
 class Pieces:

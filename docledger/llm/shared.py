@@ -157,7 +157,8 @@ def shared_hashes(rows: DataFrame, sets_of: Callable[[pa.Array], tuple[list[np.n
         yield from out.flush()
 
     sent = rows.mapInArrow(send, "p long, base long, asks boolean, h binary, of binary").select("p", "base", "asks", "h", "of")
-    tasks = min(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a text's findings leave once from each task, so a quarter of the session's tasks do: memory follows the bucket, not the task
+    tasks = min(parts, max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
     met = sent.repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(meet, "rid long, shared " + ("long" if counted else "array<long>"))
     if counted:
         return met.groupBy("rid").agg(F.sum("shared").alias("shared"))

@@ -21,7 +21,7 @@ from docledger.llm.words import mix, spread, utf8, words
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A worker's memory is cleared once it holds so many units or so many characters.
-UNITS, LETTERS = 120_000, 4_000_000
+UNITS, LETTERS = 240_000, 6_000_000
 
 
 class Numbers(dict):
@@ -86,23 +86,17 @@ WIDE = tuple(c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u
 POOL = 1 << 22
 
 
-class Ids:
-    """Ids of texts from a worker's bounded memory, by 64-bit hashes of units.
+class Merger:
+    """Ids of units, each worked out anew."""
 
-    Here a unit is a run of ASCII white space with the characters up to the next such run: white space after anything else
-    opens a new pre-token too, and only its own run decides how it is split. A text in which other white space stands before
-    such a run is encoded whole, and so is every text if `cut_by` cannot show that units are independent.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer, self.apart = tokenizer_at(path), cut_by(path)
+    def __init__(self, path: str, special: bool = True):
+        self.tokenizer = tokenizer_at(path, special)
         self.model = self.tokenizer.model
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain = self.apart and not any(PLAIN.fullmatch(t) for t in special)
-        self.memo, self.pool, self.used = Memo(bits=19), np.zeros(POOL, np.uint32), 0
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = cut_by(path) and not any(PLAIN.fullmatch(t) for t in added)
 
-    def _texts(self, units: list[str]) -> list[list[int]]:
-        """Ids of each unit; a word of plain letters goes to the merge model at once, with the letter that stands for a space."""
+    def ids(self, units: list[str]) -> list[list[int]]:
+        """A word of plain letters goes to the merge model at once, with the letter that stands for a space."""
         out: list[list[int] | None] = [None] * len(units)
         rest, tokenize = [], self.model.tokenize
         for i, unit in enumerate(units):
@@ -119,6 +113,19 @@ class Ids:
                 out[i] = e.ids
         return out
 
+
+class Ids:
+    """Ids of texts from a worker's bounded memory, by 64-bit hashes of units.
+
+    Here a unit is a run of ASCII white space with the characters up to the next such run: white space after anything else
+    opens a new pre-token too, and only its own run decides how it is split. A text in which other white space stands before
+    such a run is encoded whole, and so is every text if `cut_by` cannot show that units are independent.
+    """
+
+    def __init__(self, path: str):
+        self.merger, self.apart = Merger(path), cut_by(path)
+        self.memo, self.pool, self.used = Memo(bits=19), np.zeros(POOL, np.uint32), 0
+
     def _units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(data, start, end, hash, first) of the units of all texts."""
         data, at = utf8(column)
@@ -161,7 +168,7 @@ class Ids:
         if len(missed):
             new, where, back = np.unique(key[missed], return_index=True, return_inverse=True)
             pick = missed[where]
-            got = self._texts([data[a:b].tobytes().decode() for a, b in zip(start[pick], end[pick], strict=True)])
+            got = self.merger.ids([data[a:b].tobytes().decode() for a, b in zip(start[pick], end[pick], strict=True)])
             count = np.fromiter(map(len, got), np.int64, len(got))
             flat_new = np.fromiter(chain.from_iterable(got), np.uint32, int(count.sum()))
             entry = (base + np.cumsum(count) - count) << 24 | count

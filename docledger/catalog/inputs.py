@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from docledger.catalog.base import day, num, query, stamp
 from docledger.plans import fixtures as fx
-from docledger.plans.process import process, read_fields
+from docledger.operators import retention as RT
+from docledger.plans.process import NO_ORIGINAL, UNREADABLE_REPLY, process, read_fields, read_replies
 from docledger.session import scratch_folder
 from docledger.sources import engines as EN
 from docledger.sources import files as FI
@@ -35,18 +38,19 @@ def scan_files(spark, sf):
     return FI.as_documents(page_files(spark, sf), job_id="job1").select("id", "original_filename", "file_size_bytes", "mime_type", "content_hash", "batch_job_id")
 
 
-_STORED_TABLES = ("customer", "documents", "events", "lineitem", "orders", "pages", "part", "supplier")
+_STORED_TABLES = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 
 
-@query("list_files", " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS n_rows FROM {t}" for t in _STORED_TABLES))
+@query("list_files", " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, true AS has_bytes, count(*) AS n_rows FROM {t}" for t in _STORED_TABLES))
 def list_files(spark, sf):
-    """The stored table files, with the rows that each one holds."""
-    listed = FI.list_files(spark, sf, "*.parquet").select(FI.file_name(F.col("path")).alias("name"))
-    counts = [raw(spark, sf, t).agg(F.count("*").alias("n_rows")).select(F.lit(f"{t}.parquet").alias("name"), "n_rows") for t in _STORED_TABLES]
-    rows = counts[0]
-    for more in counts[1:]:
-        rows = rows.unionByName(more)
-    return listed.join(rows, "name")
+    """Every stored table with its files' bytes and the rows it holds; names come from the listing, and a table may be a folder."""
+    table = F.regexp_extract(F.url_decode("path"), r"/([^/]+\.parquet)(/[^/]*)?$", 1)
+    listed = FI.list_files(spark, sf, "*.parquet").groupBy(table.alias("name")).agg(F.sum("length").alias("length"))
+    names = [r["name"] for r in listed.select("name").collect()]  # one row per table
+    counts = [spark.read.parquet(f"{sf}/{n}").agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n in names]
+    rows = reduce(lambda a, b: a.unionByName(b), counts)
+    return listed.join(rows, "name").select("name", (F.col("length") > 0).alias("has_bytes"), "n_rows")
 
 
 @query("filter_supported", f"SELECT {_PAGE_NAME} AS name, CASE WHEN page_id % 4 IN (2, 3) THEN 'unsupported_extension' WHEN strlen(html) > 1048576 THEN 'too_large' END AS reject_reason FROM pages")
@@ -220,9 +224,52 @@ def process_fields(spark, sf):
         "id", "vendor_name", num("total_amount").alias("total_amount"), F.col("vendor_registration_no").alias("registration"), F.size("registration_flags").cast("bigint").alias("flags"))
 
 
-@query("process_documents")
+# documents with and without text, with replies of each engine, broken ones among them, and an earlier run's list
+_REFINED = f"CASE WHEN {K} % 5 = 1 THEN CASE WHEN {K} % 10 = 6 THEN 'no reply' ELSE 'So: {{\"vendor_name\": \"R' || {fx.s(K)} || '\", \"total_amount\": \"' || {fx.s(f'1000 + {K} % 1000')} || '\"}}' END END"
+_MODEL = f"CASE WHEN {K} % 5 = 3 THEN CASE WHEN {K} % 15 = 3 THEN 'sorry {{' ELSE '{{\"vendor_name\": \"V' || {fx.s(K)} || '\", \"total_amount\": 2000}}' END END"
+
+
+def _run_inputs(spark, sf):
+    docs = fx.receipts(spark, sf).select(
+        F.col("doc_id").cast("string").alias("id"), "client_id", F.expr("CASE WHEN doc_id % 17 <> 0 THEN text END").alias("ocr_raw_text"),
+        F.expr("md5(cast(doc_id as string))").alias("content_hash"), F.expr("cast(1000 + doc_id as bigint)").alias("file_size_bytes"),
+        RT.scan_compliance(F.expr("cast(150 + doc_id % 100 as int)"), F.lit("rgb"), F.lit(2000), F.lit(3000), F.lit(100_000), F.lit(210.0), F.lit(297.0)).alias("compliance"))
+    orders = raw(spark, sf, "orders")
+    mapped = {n: F.lit(None).cast(t) for n, t in EN.FIELD_TYPES.items()} | {
+        "vendor_name": F.expr(f"'M' || {fx.s(K)}"), "total_amount": F.expr(f"cast(CASE WHEN {K} % 4 <> 2 THEN 3000 END as decimal(14,2))")}
+    replies = read_replies(orders.filter(f"{K} % 5 IN (1, 2, 3)").select(
+        F.expr(fx.s(K)).alias("id"), F.expr(_REFINED).alias("refined_json"), F.expr(_MODEL).alias("model_json"),
+        F.when(F.expr(f"{K} % 5 = 2"), F.struct(*[c.alias(n) for n, c in mapped.items()])).alias("mapped"), F.lit(0.9).alias("mapped_conf")))
+    before = orders.filter(f"{K} % 23 < 2").selectExpr(f"{fx.s(K)} AS id", f"CASE WHEN {K} % 23 = 0 THEN md5({fx.s(K)}) ELSE 'old' END AS content_hash")
+    return docs, replies, before
+
+
+@query("process_documents", f"""
+WITH d AS (SELECT {K} AS k, {fx.VENDOR} AS v, {fx.TOTAL}::double AS t, {K} % 17 = 0 AS no_text,
+    CASE WHEN {K} % 5 = 1 AND {K} % 10 <> 6 THEN 'refined' WHEN {K} % 5 = 2 THEN 'mapped' WHEN {K} % 5 = 3 AND {K} % 15 <> 3 THEN 'fallback' ELSE 'text' END AS source FROM orders WHERE {K} % 23 <> 0),
+e AS (SELECT *, CASE WHEN k % 15 = 3 THEN '{UNREADABLE_REPLY}' WHEN no_text AND source = 'text' THEN '{NO_ORIGINAL}' END AS error FROM d)
+SELECT k::varchar AS id, CASE WHEN error IS NULL THEN source END AS source,
+  CASE WHEN error IS NULL THEN CASE source WHEN 'refined' THEN 'R' || k::varchar WHEN 'mapped' THEN 'M' || k::varchar WHEN 'fallback' THEN 'V' || k::varchar ELSE v END END AS vendor_name,
+  CASE WHEN error IS NULL THEN CASE source WHEN 'refined' THEN (1000 + k % 1000)::double WHEN 'fallback' THEN 2000::double WHEN 'text' THEN t
+    ELSE CASE WHEN k % 4 <> 2 THEN 3000::double WHEN NOT no_text THEN t END END END AS total_amount,
+  error AS processing_error, error IS NOT NULL AS uploaded_again, error IS NOT NULL AS failed, error IS NULL AS extracted, 150 + k % 100 >= 200 AS is_compliant FROM e""")
 def process_documents(spark, sf):
-    """Text to scored documents against the learned history, with both stages kept in the checkpoint folder."""
+    """The whole run, per document: chosen source and fields, failures, scan records; unchanged documents are left out."""
+    docs, replies, before = _run_inputs(spark, sf)
+    t = process(docs, fx.history(spark, sf), fx.AS_OF, F.expr(f"timestamp'{fx.AS_OF} 00:00:00'"), replies=replies, processed=before)
+    has = lambda df, key, out: df.select(F.col(key).alias("id"), F.lit(True).alias(out))
+    fields = t["extracted_data"].select(F.col("document_id").alias("id"), "vendor_name", num("total_amount").alias("total_amount"), F.lit(True).alias("extracted"))
+    scans = t["scan_timestamps"].select(F.col("document_id").alias("id"), "is_compliant")
+    out = t["documents"].join(fields, "id", "left").join(has(t["failed"], "id", "failed"), "id", "left").join(scans, "id", "left")
+    no = F.lit(False)
+    return out.select(
+        "id", F.when(F.col("extracted"), F.col("source")).alias("source"), "vendor_name", "total_amount", "processing_error", (F.col("status") == "uploaded").alias("uploaded_again"),
+        F.coalesce("failed", no).alias("failed"), F.coalesce("extracted", no).alias("extracted"), "is_compliant")
+
+
+@query("process_tiers")
+def process_tiers(spark, sf):
+    """Text to scored documents against the learned history, counted."""
     tables = process(_texts(spark, sf), fx.history(spark, sf), fx.AS_OF, F.expr(f"timestamp'{fx.AS_OF} 00:00:00'"))
     return tables["documents"].groupBy("doc_type", "status", "confidence_tier").agg(F.count("*").alias("documents"), num(F.avg("confidence_score")).alias("score"))
 

@@ -46,9 +46,10 @@ def list_documents_all(spark, sf):
     return _shown(RP.list_documents(_docs(spark, sf), fx.extracted(spark, sf)))
 
 
-@query("list_page", f"{_LIST_SQL} ORDER BY d.uploaded_at DESC, d.id LIMIT 50 OFFSET 50")
+@query("list_page", f"SELECT *, (SELECT count(*) FROM {D}) AS total FROM ({_LIST_SQL} ORDER BY d.uploaded_at DESC, d.id LIMIT 50 OFFSET 50)")
 def list_page(spark, sf):
-    return _shown(RP.page(RP.list_documents(_docs(spark, sf), fx.extracted(spark, sf)), 2, 50))
+    rows, total = RP.list_page(_docs(spark, sf), fx.extracted(spark, sf), 2, 50)
+    return _shown(rows).withColumn("total", total.scalar())
 
 
 @query("list_page_after", f"""{_LIST_SQL} WHERE d.uploaded_at <= timestamp'2000-01-01 12:00:00' AND NOT (d.uploaded_at = timestamp'2000-01-01 12:00:00' AND d.id <= 'a')

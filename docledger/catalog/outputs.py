@@ -72,7 +72,14 @@ def export_generic_csv(spark, sf):
 
 @query("voucher_numbers", f"""SELECT document_id, row_number() OVER (ORDER BY transaction_date NULLS FIRST, document_id) AS voucher FROM {E}""")
 def voucher_numbers(spark, sf):
-    return EX.number_rows(fx.extracted(spark, sf), "transaction_date", "document_id", F.substring("document_id", 1, 2), "voucher").select("document_id", "voucher")
+    return EX.number_rows(fx.extracted(spark, sf), "transaction_date", "document_id", "voucher").select("document_id", "voucher")
+
+
+@query("voucher_numbers_without_days", f"""SELECT 'same' || document_id AS document_id, row_number() OVER (ORDER BY document_id) AS voucher FROM {E}""")
+def voucher_numbers_without_days(spark, sf):
+    """All rows on one missing day, with ids that start alike."""
+    rows = fx.extracted(spark, sf).select(F.concat(F.lit("same"), "document_id").alias("document_id"), F.lit(None).cast("date").alias("transaction_date"))
+    return EX.number_rows(rows, "transaction_date", "document_id", "voucher").select("document_id", "voucher")
 
 
 @query("export_formats", " UNION ALL ".join(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docledger import constants as C
 from docledger.functions.text import blank_to_null, lookup, strip
+from docledger.session import keep
 
 
 def safe_date(col: Column, fmt: str = "yyyy/MM/dd") -> Column:
@@ -65,7 +66,7 @@ def money_forward_rows(docs: DataFrame, extracted: DataFrame) -> DataFrame:
 
 def yayoi_rows(docs: DataFrame, extracted: DataFrame) -> DataFrame:
     """Rows carry a running voucher number in (date, id) order, without gaps."""
-    p = number_rows(pair(docs, extracted), "transaction_date", "id", F.substring("id", 1, 2), "voucher")
+    p = number_rows(pair(docs, extracted), "transaction_date", "id", "voucher")
     c = _shared()
     code = F.when(c["has10"], "10").otherwise("11")
     tax = F.when(c["tax"] != 0, safe_amount(c["tax"])).otherwise("0")
@@ -88,27 +89,20 @@ def generic_rows(docs: DataFrame, extracted: DataFrame) -> DataFrame:
         safe_date(F.col("approved_at"), "yyyy/MM/dd HH:mm")])
 
 
-def number_rows(df: DataFrame, day: str, key: str, bucket: Column, out: str) -> DataFrame:
-    """Numbers rows 1, 2, 3 … in (day, key) order without a global sort in one task.
+def number_rows(df: DataFrame, day: str, key: str, out: str) -> DataFrame:
+    """Numbers rows 1, 2, 3 … in (day, key) order, rows without a day first; rows alike in both are numbered in any order.
 
-    ``bucket`` is an order-preserving coarse part of ``key`` (a prefix): rows are counted per (day, bucket), the counts
-    become offsets, and only the rows of one bucket are ranked together. A day that holds a third of all rows is spread
-    over its buckets. Rows without a day come first.
+    A range sort deals the rows out, so a day or a prefix of keys that holds most of them is still spread. The sorted rows are
+    kept with their place in their partition; the counts of the partitions, a row for each, add up to what comes before.
     """
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy(day, "_bucket").agg(F.count("*").alias("_n"))
-    days = counts.groupBy(day).agg(F.sum("_n").alias("_dn"))
-    # one row per calendar day: the only frame ranked as a whole, some ten thousand rows per century
-    ordered = Window.orderBy(F.col(day).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    before = days.select(F.col(day).alias("_day"), F.coalesce(F.sum("_dn").over(ordered), F.lit(0)).alias("_day_off"))
-    within = Window.partitionBy(day).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_in_off", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(
-        before, F.col(day).eqNullSafe(F.col("_day"))).select(
-        F.col(day).alias("_day"), F.col("_bucket").alias("_b"), (F.col("_day_off") + F.col("_in_off")).alias("_off"))
-    local = Window.partitionBy(day, "_bucket").orderBy(key)
-    ranked = df.withColumn("_local", F.row_number().over(local))
-    return ranked.join(offsets, F.col(day).eqNullSafe(F.col("_day")) & (F.col("_bucket") == F.col("_b"))).withColumn(
-        out, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_bucket", "_local", "_off", "_day", "_b")
+    order = F.col(day).asc_nulls_first(), F.col(key).asc_nulls_first()
+    running = F.monotonically_increasing_id()  # partition in the upper bits, place in it in the lower 33
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_running", running)
+    placed = keep(placed.withColumns({"_part": F.shiftright("_running", 33), "_place": F.col("_running").bitwiseAND((1 << 33) - 1)}).drop("_running"), "placed")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(offsets, "_part").withColumn(out, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
 
 
 def csv_line(cells: Column) -> Column:

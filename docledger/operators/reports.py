@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docledger import constants as C
 from docledger.functions.text import lookup
 from docledger.functions.vendor import vendor_key
+from docledger.session import keep
 
 UUID = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 LIST_COLUMNS = [
@@ -49,6 +50,16 @@ def page(df: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     return df.orderBy(F.desc("uploaded_at"), F.asc("id")).offset((number - 1) * size).limit(size)
 
 
+def list_page(docs: DataFrame, extracted: DataFrame, number: int = 1, size: int = 50, **filters) -> tuple[DataFrame, DataFrame]:
+    """(the page of the list view, its total as one row `total`). Documents alone decide the page, a top-k that every task pre-selects;
+    only its rows, 200 at most, are then joined with what was extracted from them, which is read once and not shuffled."""
+    chosen = filter_documents(docs, **filters)
+    found = keep(page(chosen, number, size), "page")
+    wanted = F.broadcast(found.select(F.col("id").alias("document_id")))  # a page
+    rows = list_documents(found, F.broadcast(extracted.join(wanted, "document_id", "left_semi")))
+    return rows.orderBy(F.desc("uploaded_at"), F.asc("id")), chosen.agg(F.count("*").alias("total"))
+
+
 def page_after(df: DataFrame, uploaded_at, last_id: str, size: int = 50) -> DataFrame:
     """The page that follows a known last row; costs the same at any depth."""
     at = F.lit(uploaded_at).cast("timestamp")

@@ -23,7 +23,7 @@ def test_samples(samples):
     assert i.vendor_name == "あおば設計" and i.invoice_number == "2023-1130"
     assert [(x.description, x.quantity, x.amount) for x in i.line_items] == [("図面作成", 2, 160000), ("現地調査", 1, 40000)]
     assert (h.transaction_date, h.total_amount) == (dt.date(2023, 7, 2), 4800)
-    assert c.total_amount == 12340 and c.invoice_number == "9876" and c.payment_method == "クレジットカード"
+    assert c.total_amount == 12340 and c.payment_method == "クレジットカード"
 
 
 DATES = [

@@ -61,12 +61,16 @@ def filter_supported(spark, sf):
 
 
 def _stored(spark, sf):
-    """Documents with inline content, content only in the upload folder, only among the originals, broken, or nowhere."""
+    """Documents with inline content, content only in the upload folder, only among the originals, broken, or nowhere; the files
+    are written from the pages first and then listed."""
     p = raw(spark, sf, "pages").selectExpr("cast(page_id as string) AS id", "page_id % 5 AS form", "encode(html, 'UTF-8') AS bytes")
+    folder, suffix = scratch_folder(spark, "stored"), F.lit(".png")
+    for name, wanted in (("up", "form IN (1, 2)"), ("originals", "form = 3")):
+        FI.write_files(p.filter(wanted).select(F.concat("id", suffix).alias("name"), F.col("bytes").alias("content")), f"{folder}/{name}").write.format("noop").mode("overwrite").save()
     docs = p.select("id", F.when(F.col("form") == 0, F.base64("bytes")).when(F.col("form") == 1, F.lit("*broken*")).alias("file_content"),
-                    F.concat(F.lit("/up/"), "id", F.lit(".png")).alias("file_path"), F.lit("x.png").alias("original_filename"), F.lit("image/png").alias("mime_type"))
-    uploads = p.filter("form IN (1, 2)").select(F.concat(F.lit("/up/"), "id", F.lit(".png")).alias("file_path"), F.col("bytes").alias("content"))
-    originals = p.filter("form = 3").select(F.concat("id", F.lit(".png")).alias("file_key"), F.col("bytes").alias("content"))
+                    F.concat(F.lit("/up/"), "id", suffix).alias("file_path"), F.lit("x.png").alias("original_filename"), F.lit("image/png").alias("mime_type"))
+    uploads = FI.list_files(spark, f"{folder}/up").select(F.concat(F.lit("/up/"), FI.file_name(F.col("path"))).alias("file_path"), "path")
+    originals = FI.list_files(spark, f"{folder}/originals").select(FI.file_name(F.col("path")).alias("file_key"), "path")
     return docs, uploads, originals
 
 

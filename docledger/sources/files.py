@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,24 +73,93 @@ def originals_key(doc_id: Column, path: Column, name: Column, mime: Column) -> C
     return F.concat(doc_id, suffix)
 
 
-def resolve_bytes(docs: DataFrame, uploads: DataFrame, originals: DataFrame) -> DataFrame:
-    """Bytes of each document and where they came from: inline base64, the upload folder, or the originals folder.
+def _inline(content: Column) -> Column:
+    return F.when(content.rlike(BASE64) & (content != ""), F.expr("try_to_binary(regexp_replace(file_content, '\\\\s', ''), 'base64')"))
+
+
+def resolve_sources(docs: DataFrame, upload_list: DataFrame, original_list: DataFrame) -> DataFrame:
+    """Adds content_source (inline, upload, original or NULL) and content_path, the file that holds the bytes.
 
-    ``uploads`` (file_path, content) and ``originals`` (file_key, content) are file listings with bytes. Inline text that
-    is no base64 falls through to the files.
+    ``upload_list`` (file_path, path) and ``original_list`` (file_key, path) are listings; no bytes are read. Only ids and keys
+    of documents without usable inline content meet the listings; ids are unique. Inline text that is no base64 falls through.
     """
-    inline = F.when(F.col("file_content").rlike(BASE64), F.expr("try_to_binary(regexp_replace(file_content, '\\\\s', ''), 'base64')"))
+    inline = _inline(F.col("file_content")).isNotNull()
     key = originals_key(F.col("id"), F.col("file_path"), F.col("original_filename"), F.col("mime_type"))
-    # documents that resolve inline take no key, so only the others meet the file listings
-    base = docs.withColumn("_inline", F.when(F.col("file_content") != "", inline)).withColumns({
-        "_path": F.when(F.col("_inline").isNull(), F.col("file_path")), "_key": F.when(F.col("_inline").isNull(), key)})
-    joined = base.join(uploads.select(F.col("file_path").alias("_path"), F.col("content").alias("_up")), "_path", "left").join(
-        originals.select(F.col("file_key").alias("_key"), F.col("content").alias("_orig")), "_key", "left")
-    return joined.withColumns({
-        "content": F.coalesce("_inline", "_up", "_orig"),
-        "content_source": F.when(F.col("_inline").isNotNull(), "inline").when(F.col("_up").isNotNull(), "upload")
-        .when(F.col("_orig").isNotNull(), "original"),
-    }).drop("_inline", "_up", "_orig", "_path", "_key")
+    asked = F.explode(F.array(
+        F.struct(F.lit(1).alias("rank"), F.lit("upload").alias("source"), F.col("file_path").alias("key")), F.struct(F.lit(2).alias("rank"), F.lit("original").alias("source"), key.alias("key"))))
+    open_ = docs.filter(~F.coalesce(inline, F.lit(False))).select("id", asked.alias("a")).select("id", "a.*").filter("key is not null")
+    listed = upload_list.select(F.lit("upload").alias("source"), F.col("file_path").alias("key"), "path").unionByName(
+        original_list.select(F.lit("original").alias("source"), F.col("file_key").alias("key"), "path"))
+    chosen = open_.join(listed, ["source", "key"]).groupBy("id").agg(F.min(F.struct("rank", "source", "path")).alias("_chosen"))
+    return docs.join(chosen, "id", "left").withColumns({
+        "content_source": F.when(inline, "inline").otherwise(F.col("_chosen.source")), "content_path": F.col("_chosen.path")}).drop("_chosen")
+
+
+def _open_store(path: str):
+    from pyarrow import fs as pafs
+
+    local = re.fullmatch(r"file:/+(.*)", path)
+    return (pafs.LocalFileSystem(), "/" + local[1] if local else path) if local or "://" not in path else pafs.FileSystem.from_uri(path)
+
+
+def read_contents(df: DataFrame, path_col: str, out: str, batch_bytes: int = 32 << 20) -> DataFrame:
+    """Adds the bytes of the file that each row names, read by the task that holds the row and passed on in batches of bounded
+    size; NULL for no path or a file that is gone."""
+    at = df.columns.index(path_col)
+    ddl = df.select("*", F.lit(None).cast("binary").alias(out)).schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            held, size, first = [], 0, 0
+            for i, path in enumerate(batch.column(at).to_pylist()):
+                content = None
+                if path is not None:
+                    fs, name = _open_store(path)
+                    try:
+                        with fs.open_input_file(name) as f:
+                            content = f.read()
+                    except FileNotFoundError:
+                        content = None
+                held.append(content)
+                size += len(content or b"")
+                if size >= batch_bytes or i + 1 == batch.num_rows:
+                    part = batch.slice(first, len(held))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], [*batch.schema.names, out])
+                    held, size, first = [], 0, i + 1
+
+    return df.mapInArrow(run, ddl)
+
+
+def write_files(df: DataFrame, folder: str) -> DataFrame:
+    """Write rows (name, content) as files below ``folder`` and return (name, path). A file appears under its name only when it is
+    complete, so a task that runs again leaves the same files; counting the result runs the job."""
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        for batch in batches:
+            fs, root = _open_store(folder)
+            fs.create_dir(root, recursive=True)
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(content.as_buffer() if content.is_valid else b"")
+                fs.move(part, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"{folder}/{n}" for n in batch.column(0).to_pylist()])], ["name", "path"])
+
+    return df.select("name", "content").mapInArrow(run, "name string, path string")
+
+
+def resolve_bytes(docs: DataFrame, upload_list: DataFrame, original_list: DataFrame) -> DataFrame:
+    """Bytes of each document and where they came from: inline base64, the upload folder, or the originals folder. Keys decide
+    first, see `resolve_sources`; the bytes of the chosen files are read last and never cross a shuffle. An empty file counts as none."""
+    found = read_contents(resolve_sources(docs, upload_list, original_list), "content_path", "_bytes")
+    inline = F.when(F.col("content_source") == "inline", _inline(F.col("file_content")))
+    return found.withColumn("content", F.coalesce(inline, "_bytes")).drop("_bytes", "content_path")
 
 
 def has_original_file(docs: DataFrame, upload_list: DataFrame, original_list: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from docledger.functions import pii as P
 from docledger.operators import exports as EX
 from docledger.operators import reports as RP
+from docledger.session import scratch_folder
+from docledger.sources import files as FI
 
 
 def test_ten_thousand_hits_both_ways(spark):
@@ -56,3 +58,30 @@ def test_page_is_chosen_before_the_join(spark, capsys):
     rows.explain()
     plan = capsys.readouterr().out
     assert "TakeOrdered" not in plan and "SortMergeJoin" not in plan
+
+
+def stored(spark):
+    folder = scratch_folder(spark, "files")
+    content = spark.createDataFrame([("2.png", b"two"), ("3.png", b"three"), ("5.png", b"")], "name string, content binary")
+    assert FI.write_files(content.filter("name <> '3.png'"), f"{folder}/up").count() == 2
+    assert FI.write_files(content.filter("name = '3.png'"), f"{folder}/originals").count() == 1
+    docs = spark.createDataFrame(
+        [("1", "b25l", "/up/1.png"), ("2", None, "/up/2.png"), ("3", "*", "/up/3.png"), ("4", "", None), ("5", None, "/up/5.png")], "id string, file_content string, file_path string")
+    docs = docs.withColumns({"original_filename": F.lit("x.png"), "mime_type": F.lit("image/png")})
+    uploads = FI.list_files(spark, f"{folder}/up").select(F.concat(F.lit("/up/"), FI.file_name(F.col("path"))).alias("file_path"), "path")
+    return docs, uploads, FI.list_files(spark, f"{folder}/originals").select(FI.file_name(F.col("path")).alias("file_key"), "path")
+
+
+def test_bytes_are_read_last(spark, capsys):
+    out = FI.resolve_bytes(*stored(spark))
+    got = {r.id: (r.content_source, None if r.content is None else bytes(r.content)) for r in out.collect()}
+    assert got == {"1": ("inline", b"one"), "2": ("upload", b"two"), "3": ("original", b"three"), "4": (None, None), "5": (None, None)}  # Spark lists no empty files
+    out.explain("formatted")
+    sections = capsys.readouterr().out.split("\n\n")
+    moved = [x for x in sections if "Exchange" in x.split("\n")[0] and x.lstrip().startswith("(")]
+    assert moved and not any("content#" in x or "_bytes" in x for x in moved)
+
+
+def test_a_file_that_is_gone_is_null(spark):
+    df = spark.createDataFrame([("/nowhere/x",), (None,)], "path string")
+    assert [r.b for r in FI.read_contents(df, "path", "b").collect()] == [None, None]

@@ -355,5 +355,5 @@ def stream_process(spark, sf):
     texts.write.parquet(f"{out}/texts")
     s = spark.readStream.schema(texts.schema).parquet(f"{out}/texts")
     STR.stream_process(s, lambda session: fx.history(session, sf), out, f"{out}/ckpt", fx.AS_OF, F.expr(f"timestamp'{fx.AS_OF} 00:00:00'")).awaitTermination()
-    return spark.read.parquet(f"{out}/documents").groupBy("status").agg(F.count("*").alias("documents"))
+    return STR.read_batches(spark, out, "documents").groupBy("status").agg(F.count("*").alias("documents"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docledger import constants as C
 from docledger.functions.text import blank_to_null
+from docledger.schemas import schema_of
+from docledger.sources.commits import commit_run, is_committed, read_committed, run_path
 
 CHANGE = "struct<before:string,after:string>"
 
@@ -61,9 +63,26 @@ def unknown_events(events: DataFrame) -> DataFrame:
     return events.filter(~F.coalesce(F.col("event_type").isin(C.AUDIT_EVENTS), F.lit(False)))
 
 
-def write_jsonl(events: DataFrame, path: str) -> None:
-    """Append the events as JSON lines, partitioned by day."""
-    events.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").option("ignoreNullFields", "false").json(path)
+LOG = "audit"
+
+
+def write_jsonl(events: DataFrame, base: str, run: str, number: int = 0) -> bool:
+    """Add the events of a run as JSON lines, in folders by day, and mark the run as complete. A run that failed halfway may be
+    written again under its name; one that is complete is left as it is. Tells whether anything was written."""
+    spark = events.sparkSession
+    if is_committed(spark, base, run, number):
+        return False
+    dated = events.withColumn("day", F.to_date("timestamp"))
+    dated.write.mode("overwrite").partitionBy("day").option("ignoreNullFields", "false").json(run_path(base, LOG, run, number))
+    commit_run(spark, base, run, number)
+    return True
+
+
+def read_jsonl(spark: SparkSession, base: str) -> DataFrame:
+    """Events of all complete runs, with the day of their folder."""
+    schema = schema_of("audit_logs")
+    rows = read_committed(spark, base, LOG, schema.add("day", "date"), "json")
+    return rows.select(*schema_of("audit_logs").names, "day")
 
 
 def audit_report(events: DataFrame) -> DataFrame:

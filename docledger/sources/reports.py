@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docledger.session import keep
+
 _ATTRS = "_name string, _tests string, _errors string, _failures string, _skipped string, _time string"
-SUITE = f"{_ATTRS}, testsuite array<struct<{_ATTRS}>>"
-CASE = "_name string, _classname string, failure struct<_message:string>, error struct<_message:string>"
+CASE = "_name string, _classname string, failure struct<_VALUE:string,_message:string>, error struct<_VALUE:string,_message:string>"
+CASES = f"testcase array<struct<{CASE}>>"
+SUITE = f"{_ATTRS}, {CASES}, testsuite array<struct<{_ATTRS}, {CASES}>>"
 
 
 def same_path(col: Column) -> Column:
@@ -16,16 +19,19 @@ def same_path(col: Column) -> Column:
 
 
 def read_suites(spark: SparkSession, path: str) -> DataFrame:
-    """One row per <testsuite>, and per suite directly inside one, with its file name."""
+    """One row per <testsuite>, and per suite directly inside one, with its file name and its failed or broken cases. Reports are
+    read once; a suite and its cases are one element of a file."""
     outer = spark.read.format("xml").option("rowTag", "testsuite").option("mode", "PERMISSIVE").schema(SUITE).load(path)
-    cols = [c.split()[0] for c in _ATTRS.split(", ")]
+    cols = [*[c.split()[0] for c in _ATTRS.split(", ")], "testcase"]
     own = F.array(F.struct(*[F.col(c) for c in cols]))
-    inner = F.coalesce(F.col("testsuite"), F.array().cast(f"array<struct<{_ATTRS}>>"))
+    inner = F.coalesce(F.col("testsuite"), F.array().cast(f"array<struct<{_ATTRS}, {CASES}>>"))
     raw = outer.withColumn("file", same_path(F.input_file_name())).select("file", F.inline(F.concat(own, inner)))
     n = lambda c, t: F.coalesce(F.col(c).try_cast(t), F.lit(0).cast(t))
+    cases = F.coalesce("testcase", F.array().cast(f"array<struct<{CASE}>>"))
+    failed = F.filter(cases, lambda c: c["failure"].isNotNull() | c["error"].isNotNull())
     return raw.select(
         "file", F.col("_name").alias("name"), n("_tests", "int").alias("tests"), n("_errors", "int").alias("errors"),
-        n("_failures", "int").alias("failures"), n("_skipped", "int").alias("skipped"), n("_time", "double").alias("time"))
+        n("_failures", "int").alias("failures"), n("_skipped", "int").alias("skipped"), n("_time", "double").alias("time"), failed.alias("failed_cases"))
 
 
 def test_totals(suites: DataFrame) -> DataFrame:
@@ -45,20 +51,22 @@ def test_totals(suites: DataFrame) -> DataFrame:
         "pass_rate", F.when(F.col("total") > 0, F.round(F.col("passed") / F.col("total") * 100, 1)).otherwise(F.lit(0.0)))
 
 
-def failed_cases(spark: SparkSession, path: str, message_length: int | None = None) -> DataFrame:
-    """Every failed or broken case below ``path`` with its report file; ``message_length`` cuts the message where it is given."""
-    raw = spark.read.format("xml").option("rowTag", "testcase").option("mode", "PERMISSIVE").schema(CASE).load(path)
-    raw = raw.withColumn("file", same_path(F.input_file_name()))
-    hit = F.coalesce(F.col("failure"), F.col("error"))
-    message = F.coalesce(hit["_message"], F.lit(""))
-    return raw.filter("failure is not null or error is not null").select(
-        "file", F.coalesce("_name", F.lit("")).alias("name"), F.coalesce("_classname", F.lit("")).alias("classname"),
+def failed_cases(suites: DataFrame, message_length: int | None = None) -> DataFrame:
+    """Every failed or broken case of the suites with its report file; ``message_length`` cuts the message where it is given."""
+    case = F.col("case")
+    message = F.coalesce(case["failure"]["_message"], case["error"]["_message"], F.lit(""))
+    return suites.select("file", F.explode("failed_cases").alias("case")).select(
+        "file", F.coalesce(case["_name"], F.lit("")).alias("name"), F.coalesce(case["_classname"], F.lit("")).alias("classname"),
         (message if message_length is None else F.substring(message, 1, message_length)).alias("message"))
 
 
-def read_test_report(spark: SparkSession, path: str) -> DataFrame:
-    """Totals of every report below ``path``; a file without a readable suite gives a row of zeros."""
-    files = spark.read.format("binaryFile").load(path).select(same_path(F.col("path")).alias("file"))
-    totals = test_totals(read_suites(spark, path))
-    joined = files.join(totals, "file", "left")
-    return joined.na.fill(0, ["total", "failed", "errors", "skipped", "passed"]).na.fill(0.0, ["time_seconds", "pass_rate"])
+def read_test_report(spark: SparkSession, path: str, message_length: int | None = None) -> DataFrame:
+    """Totals and failed cases of every report below ``path``; a file without a readable suite gives a row of zeros. Failed cases
+    are in the order of name, class and message."""
+    files = spark.read.format("binaryFile").load(path).select(same_path(F.col("path")).alias("file"))  # the listing alone
+    suites = keep(read_suites(spark, path), "suites")
+    failed = failed_cases(suites, message_length).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("name", "classname", "message"))).alias("failed_cases"))
+    joined = files.join(test_totals(suites), "file", "left").join(failed, "file", "left")
+    filled = joined.na.fill(0, ["total", "failed", "errors", "skipped", "passed"]).na.fill(0.0, ["time_seconds", "pass_rate"])
+    none = F.array().cast("array<struct<name:string,classname:string,message:string>>")
+    return filled.withColumn("failed_cases", F.coalesce("failed_cases", none))

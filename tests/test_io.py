@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docledger.operators import exports as EX
 from docledger.sources import files as FI
 from docledger.sources.images import gray_levels
-from docledger.sources.reports import failed_cases, read_test_report
+from docledger.sources.reports import failed_cases, read_suites, read_test_report
 from docledger.sources.sinks import write_export
 from docledger.streaming.streams import stream_intake
 
@@ -55,8 +55,9 @@ def test_junit(spark, tmp_path):
     rows = {r.file.rsplit("/", 1)[-1]: r for r in read_test_report(spark, str(tmp_path)).collect()}
     a = rows["a.xml"]
     assert (a.total, a.passed, a.failed, a.skipped, a.pass_rate, a.time_seconds) == (4, 2, 1, 1, 50.0, 1.5)
-    assert rows["b.xml"].total == 0
-    assert [(r.name, r.message) for r in failed_cases(spark, str(tmp_path / "a.xml")).collect()] == [("bad", "boom")]
+    assert rows["b.xml"].total == 0 and rows["b.xml"].failed_cases == []
+    assert [tuple(x) for x in a.failed_cases] == [("bad", "c", "boom")]
+    assert [(r.name, r.message) for r in failed_cases(read_suites(spark, str(tmp_path / "a.xml"))).collect()] == [("bad", "boom")]
 
 
 def test_gray_levels():

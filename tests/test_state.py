@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docledger.operators import audit as AU
 from docledger.operators import retention as RE
 from docledger.operators import state as S
+from docledger.sources.commits import run_path
 
 DOCS = "id string, status string, approved_by string, approved_at timestamp, processing_error string"
 
@@ -52,7 +53,10 @@ def test_long_holidays(spark):
 def test_jsonl_round_trip(spark, tmp_path):
     base = spark.createDataFrame([("1", dt.datetime(2024, 1, 1, 5), "login"), ("2", dt.datetime(2024, 1, 2, 5), "export")], "id string, at timestamp, what string")
     events = AU.audit_events(base, event_id=F.col("id"), at=F.col("at"), event_type=F.col("what"), user=F.lit(""), resource_type=F.lit("document"), resource_id=F.col("id"))
-    AU.write_jsonl(events, str(tmp_path / "log"))
-    AU.write_jsonl(events.filter("id = '1'"), str(tmp_path / "log"))
-    back = spark.read.json(str(tmp_path / "log"))
-    assert back.count() == 3 and {r.user_id for r in back.collect()} == {"anonymous"} and {str(r.day) for r in back.collect()} == {"2024-01-01", "2024-01-02"}
+    base = str(tmp_path / "log")
+    assert AU.write_jsonl(events, base, "a") and not AU.write_jsonl(events, base, "a") and AU.write_jsonl(events.filter("id = '1'"), base, "b")
+    events.withColumn("day", F.to_date("timestamp")).write.partitionBy("day").json(run_path(base, AU.LOG, "c", 0))  # a run that stopped before its marker
+    back = AU.read_jsonl(spark, base).collect()
+    assert sorted(r.id for r in back) == ["1", "1", "2"] and {r.user_id for r in back} == {"anonymous"} and {str(r.day) for r in back} == {"2024-01-01", "2024-01-02"}
+    assert AU.write_jsonl(events.filter("id = '2'"), base, "c")
+    assert sorted(r.id for r in AU.read_jsonl(spark, base).collect()) == ["1", "1", "2", "2"]

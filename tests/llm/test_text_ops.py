@@ -181,3 +181,44 @@ def test_pages(spark):
     rows = [(1, "u", "<p>a</p>", "x", 7), (1, "u", "<p>a</p>", "x", 7), (2, None, None, None, None), (None, "v", "", "y", 1)]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
     assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in got) == [(0, "v", "", 0), (1, "u", "a", 1), (1, "u", "a", 1), (2, "", "", 0)]
+
+
+@pytest.mark.parametrize("name", ["row has-sidebar", "no-sidebar", "post-search-results", "entry share", "legal-news", "comments"])
+@pytest.mark.parametrize("shape", ["<div class='{0}'>{1}</div>", "<div class='{0}'><article>{1}</article></div>", "<article class='{0}'>{1}</article>", "<article><div class='{0}'>{1}</div></article>"])
+def test_marks_never_empty_a_page(name, shape):
+    body = f"<h1>Head</h1><p>{LONG}</p><p>Short.</p>"
+    got = " ".join(H.content_lines(page("<nav><a href=x>menu</a></nav>" + shape.format(name, body) + "<footer>foot</footer>")))
+    assert got == f"Head {LONG}Short."
+
+
+def test_readers_text_goes_even_if_long():
+    assert H.content_lines(page(f"<article><p>{LONG}</p><div class=comments><article class=comment><p>{LONG * 9}</p></article></div></article>")) == [LONG.strip()]
+    assert H.content_lines(page(f"<article><p>{LONG}</p></article><div class=comments><article class=comment><p>{LONG * 9}</p></article></div>")) == [LONG.strip()]
+
+
+def test_threshold_decides():
+    links = "".join(f"<li><b><a href=x>t{i}</a></b></li>" for i in range(12))
+    assert H.content_lines(page(f"<article><p>{LONG}</p><p>{LONG}</p><div><ul>{links}</ul></div></article>")) == [LONG.strip()] * 2
+    assert H.content_lines(page(f"<div><ul>{links}</ul></div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>")) == [LONG.strip(), "Short.", LONG.strip()]
+
+
+def test_smoothing_against_plain_sums():
+    import numpy as np
+
+    values = np.array([3.0, 80.0, 1.0, 0.0, 12.0, 55.0, 7.0])
+    weight = lambda d: np.exp(-d * d / 2) if abs(d) <= 3 else 0.0
+    plain = [sum(weight(i - j) * v for j, v in enumerate(values)) / sum(weight(i - j) for j in range(7)) for i in range(7)]
+    assert np.allclose(H.smooth(values), plain)
+
+
+def test_parser_takes_linear_time():
+    import time
+
+    began = time.time()
+    for html in ("<div>" * 40000 + "text" + "</x>" * 40000, "<div><b><div>" + "<i>" * 40000 + "</b>" * 40000, "<article>" * 40000 + "a" + "<p class=ad>b" * 40000):
+        H.content_lines(html)
+    assert time.time() - began < 20
+
+
+def test_no_pages(spark):
+    assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

@@ -1,11 +1,12 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
-Patterns propose spans: those of the four base kinds, which always stay, and looser ones (addresses spelled with at and dot,
-telephone numbers without a country code). Six labelers vote on each span for, against or not at all: the strict shape, the
+Patterns propose spans: those of the four base kinds, which always stay, and looser ones (addresses spelled with at and dot or with
+spaces around the sign, cards grouped by dots, strokes or dashes, telephone numbers without a country code). Six labelers vote on each span for, against or not at all: the strict shape, the
 validity rule, gazetteers (top-level domains, card issuers, calling codes, address ranges), words before the span, what touches
 it, and placeholders. Expectation-maximisation over the counts of vote patterns estimates how each labeler votes on true and
 false spans. Its posteriors then train a logistic classifier on features of the span and its surroundings, which decides the
-loose spans. Vote and feature patterns are few whatever the corpus, and the driver sees parameters only.
+loose spans. Vote and feature patterns are few whatever the corpus: Spark counts them, and both fits run on the counts, a few hundred
+numbers of which there cannot be more than the votes and features combine to.
 
 Places come from the texts between matches: their lengths add up, so a text with very many matches takes linear time.
 """
@@ -29,7 +30,8 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)++|(?: @ ?|@ )[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)",
+    "card": r"(?<![0-9A-Za-z._/–·])[0-9]{4}([._/–·])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])(?![._/–·][0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z.-])",
 }
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -39,8 +41,8 @@ CALLING = r"^\+ ?(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[
 FOR = {"email": "mail|contact|write|reach|address", "ip": r"\bip\b|host|server|addr|login", "card": "card|visa|master|amex|credit|debit|pay", "phone": r"phone|tel|call|mobile|fax|ring|\bsms\b"}
 AGAINST = {"email": "commit|sha|path", "ip": "version|section|release|chapter|build", "card": "order|isbn|serial|tracking|invoice|sku", "phone": "order|isbn|serial|version|part|article|sku|score"}
 VOTES = ("shape", "valid", "listed", "before", "touching", "placeholder")
-FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "loose", "long", "spaced", "word_before", "word_after", "cue")
-TURNS, STEPS, RATE = 12, 30, 2.0
+FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "loose", "long", "spaced", "word_before", "word_after", "cue", "valid", "listed")
+TURNS, STEPS, RATE = 12, 300, 2.0
 SURE = 0.5
 
 
@@ -73,7 +75,8 @@ def guards(text: Column) -> dict[tuple[str, bool], Column]:
         ("ip", False): digit & text.rlike(r"[0-9]\.[0-9]"),
         ("card", False): digit & text.rlike(r"[0-9](?:[ -]?[0-9]){12}"),
         ("phone", False): text.contains("+") & digit,
-        ("email", True): _spelled(text),
+        ("email", True): _spelled(text) | text.contains(" @") | text.contains("@ "),
+        ("card", True): digit & text.rlike("[0-9]{4}[._/–·][0-9]{4}[._/–·][0-9]{4}"),
         ("phone", True): digit & text.rlike(r"[0-9][ .-][0-9]{3,4}(?![0-9A-Za-z])"),
     }
 
@@ -115,9 +118,9 @@ def judged(found: DataFrame) -> DataFrame:
     m, left, right = F.col("match"), F.lower("left"), F.col("right")
     digits = _digits(m)
     n = F.char_length(digits)
-    plain = F.regexp_replace(F.regexp_replace(m, r" ?(?:\(at\)|\[at\]| at ) ?", "@"), r" ?(?:\(dot\)|\[dot\]| dot ) ?", ".")
+    plain = F.regexp_replace(F.regexp_replace(m, r" ?(?:\(at\)|\[at\]| at |@) ?", "@"), r" ?(?:\(dot\)|\[dot\]| dot ) ?", ".")
     valid = _by_kind({"email": F.lit(True), "ip": m.rlike(f"^{BYTE}(?:\\.{BYTE}){{3}}$"), "card": _luhn(digits)}, n.between(9, 15))
-    shape = _by_kind({"email": plain.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), "ip": ~m.rlike(r"(^|\.)0[0-9]"), "card": m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}(?:([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[ -][0-9]{6}[ -][0-9]{5}))$")}, n.between(9, 13))
+    shape = _by_kind({"email": plain.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), "ip": ~m.rlike(r"(^|\.)0[0-9]"), "card": m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}(?:([ ._/–·-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[ -][0-9]{6}[ -][0-9]{5}))$")}, n.between(9, 13))
     first = F.split_part(m, F.lit("."), F.lit(1))
     listed = _by_kind(
         {"email": F.lower(F.substring_index(plain, ".", -1)).isin(TLDS), "ip": (F.char_length(first) <= 3) & first.cast("int").between(1, 223), "card": digits.rlike(ISSUERS)}, m.rlike(CALLING)
@@ -135,46 +138,51 @@ def judged(found: DataFrame) -> DataFrame:
         "word_before": left.rlike(r"[\p{L}0-9]\s*$"),
         "word_after": right.rlike(r"^\s*[\p{L}0-9]"),
         "cue": cue,
+        "valid": valid,
+        "listed": listed,
     }
     return judged.select("*", *[F.coalesce(v, F.lit(0)).alias(f"v_{k}") for k, v in flags.items()], *[F.coalesce(v, F.lit(False)).cast("int").alias(f"f_{k}") for k, v in features.items()], F.col("loose").cast("int").alias("f_loose"))
 
 
-def _log_odds(prior: float, rates: dict) -> Column:
+def _log_odds(row: dict, prior: float, rates: dict) -> float:
     """Log odds that a span is true, of its votes; rates[labeler][vote] = (rate on true, rate on false)."""
-    total = F.lit(math.log(prior / (1 - prior)))
-    for k in VOTES:
-        v = F.col(f"v_{k}")
-        told = {x: math.log(a / b) for x, (a, b) in rates[k].items()}
-        total = total + F.when(v == 1, told[1]).when(v == -1, told[-1]).otherwise(told[0])
-    return total
+    return math.log(prior / (1 - prior)) + sum(math.log(rates[k][row[f"v_{k}"]][0] / rates[k][row[f"v_{k}"]][1]) for k in VOTES)
 
 
-def estimate(patterns: DataFrame) -> tuple[float, dict]:
+def _logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+
+
+def estimate(patterns: list[dict]) -> tuple[float, dict]:
     """EM over counted vote patterns: the share of true spans, and each labeler's rates of votes on true and false ones."""
     prior, rates = 0.7, {k: {1: (0.6, 0.2), 0: (0.3, 0.3), -1: (0.1, 0.5)} for k in VOTES}
     for _ in range(TURNS):
-        q = 1 / (1 + F.exp(-_log_odds(prior, rates)))
-        sums = [F.sum(F.col("count") * w * (F.col(f"v_{k}") == v).cast("int")).alias(f"{k}_{v}_{y}") for k in VOTES for v in (1, 0, -1) for y, w in (("t", F.col("q")), ("f", 1 - F.col("q")))]
-        got = patterns.withColumn("q", q).agg(F.sum(F.col("count") * F.col("q")).alias("t"), F.sum(F.col("count") * (1 - F.col("q"))).alias("f"), *sums).first()
-        if got["t"] is None:
-            return prior, rates
-        t, f = got["t"], got["f"]
+        true = [(r, r["count"], r["count"] * _logistic(_log_odds(r, prior, rates))) for r in patterns]
+        t = sum(q for *_, q in true)
+        f = sum(n - q for _, n, q in true)
         prior = (t + 1) / (t + f + 2)
-        rates = {k: {v: ((got[f"{k}_{v}_t"] + 1) / (t + 3), (got[f"{k}_{v}_f"] + 1) / (f + 3)) for v in (1, 0, -1)} for k in VOTES}
+        told = {k: {v: [1.0, 1.0] for v in (1, 0, -1)} for k in VOTES}
+        for r, n, q in true:
+            for k in VOTES:
+                told[k][r[f"v_{k}"]][0] += q
+                told[k][r[f"v_{k}"]][1] += n - q
+        rates = {k: {v: (a / (t + 3), b / (f + 3)) for v, (a, b) in told[k].items()} for k in VOTES}
     return prior, rates
 
 
-def train(patterns: DataFrame, prior: float, rates: dict) -> list[float]:
+def train(patterns: list[dict], prior: float, rates: dict) -> list[float]:
     """Weights of a logistic classifier on the features, the last its bias, fitted to the posteriors."""
     weights = [0.0] * (len(FEATURES) + 1)
-    target = patterns.withColumn("q", 1 / (1 + F.exp(-_log_odds(prior, rates))))
-    for _ in range(STEPS):
-        off = F.col("count") * (_score(weights) - F.col("q"))
-        got = target.withColumn("off", off).agg(F.sum("count"), F.sum("off"), *[F.sum(F.col("off") * F.col(f"f_{k}")) for k in FEATURES]).first()
-        if got[0] is None:
-            return weights
-        steps = [*got[2:], got[1]]
-        weights = [w - RATE * (g / got[0] + 1e-4 * w) for w, g in zip(weights, steps, strict=True)]
+    rows = [([i for i, k in enumerate(FEATURES) if r[f"f_{k}"]], r["count"], _logistic(_log_odds(r, prior, rates))) for r in patterns]
+    total = sum(n for _, n, _ in rows)
+    for _ in range(STEPS if rows else 0):
+        steps = [0.0] * len(weights)
+        for on, n, q in rows:
+            off = n * (_logistic(weights[-1] + sum(weights[i] for i in on)) - q)
+            steps[-1] += off
+            for i in on:
+                steps[i] += off
+        weights = [w - RATE * (g / total + 1e-4 * w) for w, g in zip(weights, steps, strict=True)]
     return weights
 
 
@@ -198,7 +206,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def _found(rows: DataFrame) -> DataFrame:
     votes, features = [f"v_{k}" for k in VOTES], [f"f_{k}" for k in FEATURES]
     spans = keep(judged(candidates(rows.select("rid", "text"))).select("rid", "kind", "loose", "start", "end", "base", *votes, *features), "candidates")
-    patterns = keep(spans.groupBy(*votes, *features).count(), "patterns")
+    patterns = [r.asDict() for r in spans.groupBy(*votes, *features).count().orderBy(*votes, *features).collect()]
     prior, rates = estimate(patterns)
     spans = spans.withColumn("score", _score(train(patterns, prior, rates))).filter(F.col("base") | (F.col("loose") & (F.col("score") >= SURE)))
     order = Window.partitionBy("rid").orderBy("start", "end")
@@ -215,8 +223,32 @@ def _found(rows: DataFrame) -> DataFrame:
     return rows.select("rid", "key").join(listed, "rid", "left").select("rid", "key", F.coalesce("spans", empty).alias("spans"))
 
 
+def _replaced(text: Column, hits: Column) -> Column:
+    """The text with its hits (start, end, kind; in order and apart) put as [kind]. Hits are taken in groups of about the root of their
+    number: each group's stretch is cut out of the text once, and its hits are cut out of the stretch."""
+    n = F.size(hits)
+    group = F.ceil(F.sqrt(n)).cast("int")
+
+    def stretch(first: Column) -> Column:
+        start = F.when(first == 0, F.lit(0)).otherwise(F.try_element_at(hits, first)["end"].cast("int"))
+        end = F.element_at(hits, F.least(first + group, n))["end"].cast("int")
+        return F.struct(F.substring(text, start + 1, end - start).alias("part"), start.alias("start"), F.slice(hits, first + 1, group).alias("hits"))
+
+    def put(p: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            last = F.when(i == 0, p["start"]).otherwise(F.try_element_at(p["hits"], i)["end"].cast("int"))
+            return F.concat(F.substring(p["part"], last - p["start"] + 1, h["start"].cast("int") - last), F.lit("["), h["kind"], F.lit("]"))
+
+        return F.array_join(F.transform(p["hits"], one), "")
+
+    stretches = F.transform(F.sequence(F.lit(0), n - 1, group), stretch)
+    rest = F.substring(text, F.element_at(hits, -1)["end"].cast("int") + 1, F.char_length(text))
+    return F.concat(F.array_join(F.transform(stretches, put), ""), rest)
+
+
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, with every span of text put as [kind]; overlapping spans are masked as the first of them."""
+    """All columns of docs, with every span of text put as [kind]; overlapping spans are masked as the first of them. Null texts
+    stay null, texts without spans and empty ones stay as they are; repeated rows each give a row; null keys stay."""
     others = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
     rows = numbered(docs, key=F.col(key), text=F.col(text), **others)
     hit = _found(rows.select("rid", "key", "text")).filter(F.size("spans") > 0).select("rid", F.explode("spans").alias("s")).select("rid", "s.kind", "s.start", "s.end")
@@ -225,9 +257,5 @@ def mask(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     hit = hit.withColumn("reach", reach).filter(F.col("reach").isNull() | (F.col("start") >= F.col("reach")) | (F.col("end") > F.col("reach")))
     hit = hit.withColumn("start", F.greatest("start", F.coalesce("reach", F.lit(0)))).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("hits"))
     joined = rows.join(keep(hit, "hits"), "rid", "left")
-    before = F.transform(
-        "hits", lambda h, i: F.concat(F.substring("text", F.when(i == 0, F.lit(0)).otherwise(F.element_at("hits", i)["end"]) + 1, h["start"] - F.when(i == 0, F.lit(0)).otherwise(F.element_at("hits", i)["end"])), F.lit("["), h["kind"], F.lit("]"))
-    )
-    rest = F.expr("substring(text, int(element_at(hits, -1).end) + 1)")
-    masked = F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.concat(F.array_join(before, ""), rest))
+    masked = F.when(F.col("hits").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("hits")))
     return joined.select(*[(masked if c == text else F.col(n)).alias(c) for n, c in zip(others, docs.columns, strict=True)])

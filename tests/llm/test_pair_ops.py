@@ -237,7 +237,7 @@ def test_guards_hold_wherever_patterns_match(spark):
     texts = [f"jane{a}example{d}com" for a in ats for d in dots]
     parts = [*ats, *dots, "jane", "example", "com", "@", ".", "12", "555", "5551", "4111", "+49", " ", "-", "(030)", "\n", "é"]
     texts += ["".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(3000)]
-    texts += ["4111 1111 1111 1111", "1.2.3.4", "+49 30 1234567", "555-123-4567", "a@b.co"]
+    texts += ["4111 1111 1111 1111", "1.2.3.4", "+49 30 1234567", "555-123-4567", "a@b.co", "jane @ example.com", "jane@ example.com.", "4111.1111.1111.1111", "x 4111/1111/1111/1111 y", "4111–1111–1111–1111"]
     docs = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").cache()
     for (kind, loose), guard in P.guards(F.col("text")).items():
         matches = docs.filter(F.col("text").rlike((P.LOOSE if loose else P.BASE)[kind]))
@@ -247,6 +247,38 @@ def test_guards_hold_wherever_patterns_match(spark):
     docs.unpersist()
 
 
+def test_spans_that_no_base_rule_finds(spark):
+    r = random.Random(8)
+
+    def card():
+        d = [4, *[r.randint(0, 9) for _ in range(14)]]
+        return "".join(map(str, d)) + next(c for c in "0123456789" if luhn("".join(map(str, d)) + c))
+
+    texts, planted = [], []
+    for i in range(300):
+        c = card()
+        grouped = [c[j : j + 4] for j in (0, 4, 8, 12)]
+        texts.append(f"please contact person{i}@example.com or pay by card {' '.join(grouped)} today, host 10.1.{i % 250}.9")
+    for i in range(60):
+        grouped = card()
+        grouped = r.choice("._/").join(grouped[j : j + 4] for j in (0, 4, 8, 12))
+        for before, span in (("please contact ", f"person{i} @ example.com"), ("write mail to ", f"person{i} (at) example (dot) com"), ("pay by card ", grouped)):
+            planted.append(len(texts))
+            texts.append(f"{before}{span} today")
+    clean = range(len(texts), len(texts) + 120)
+    texts += [f"order {r.randint(1000, 9999)}.{r.randint(1000, 9999)}.{r.randint(1000, 9999)}.000{i % 10} of part {i} look at this dot product" for i in range(120)]
+    got = {x.doc_id: x.spans for x in P.find_personal_data(spark.createDataFrame([(i, t, 0, "", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    found = sum(any(not s["base"] for s in got[i]) for i in planted)
+    wrong = sum(any(not s["base"] for s in got[i]) for i in clean)
+    assert found >= 0.95 * len(planted) and wrong <= 0.05 * len(clean), (found, wrong)
+
+
+def test_hits_in_groups(spark):
+    hits = ", ".join(f"named_struct('start', {i * 7 + 2}, 'end', {i * 7 + 5}, 'kind', 'ip')" for i in range(5))
+    row = spark.sql(f"SELECT repeat('aébcdéf', 5) AS text, array({hits}) AS hits").select(P._replaced(F.col("text"), F.col("hits")).alias("t")).first()
+    assert row.t == "aé[ip]éf" * 5
+
+
 def test_mask(spark):
     rows = [(1, "mail a@b.co or 1.2.3.4!", 3, "keep", 5), (2, None, 3, "keep", 5), (3, "🙂 +49 30 1234567", 3, "k", 5), (3, "nothing", 3, "k", 5)]
     docs = spark.createDataFrame(rows, SCHEMA)

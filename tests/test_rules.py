@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docledger.functions.vendor import vendor_key
 from docledger.operators import accounts as A
+from docledger.operators import containing
 from docledger.operators import history as H
 from docledger.operators import rules as RU
 
@@ -48,8 +49,9 @@ def test_cascade(spark, stage):
         ("水道光熱費", "keyword", 0.70), ("会議費", "vlm", 0.60), (None, "none", 0.0), ("会議費", "none", 0.30), (None, "none", 0.30)]
 
 
-@pytest.mark.parametrize("cap", [5, 1000, None])
-def test_partial_equals_brute_force(spark, cap):
+@pytest.mark.parametrize("cap, long", [(5, 64), (1000, 64), (None, 64), (None, 3)])
+def test_partial_equals_brute_force(spark, cap, long, monkeypatch):
+    monkeypatch.setattr(RU, "LONG", long)
     rnd = random.Random(7)
     word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6)))
     history = [rule("hot" if rnd.random() < 0.5 else f"c{rnd.randint(0, 3)}", word(), f"acc{i}", uses=rnd.randint(1, 50), day=rnd.randint(1, 28)) for i in range(120)]
@@ -134,7 +136,7 @@ def test_large_client_is_spread(spark):
     try:
         told = io.StringIO()
         with contextlib.redirect_stdout(told):
-            RU.match_partial(v, RU.client_rules(h)).explain()
+            RU.match_partial(v, RU.client_rules(h), long=False).explain()
         plan = told.getvalue()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
@@ -142,6 +144,38 @@ def test_large_client_is_spread(spark):
     assert grouped < plan.index("_share", grouped)
 
 
+def test_names_inside_equals_brute_force(spark, monkeypatch):
+    """Ties, repeats, nulls and empty names; a client split into shares by its count; other clients' names never match."""
+    monkeypatch.setattr(containing, "PER_SHARE", 7)
+    rnd = random.Random(3)
+    word = lambda most: "".join(rnd.choice("ab東") for _ in range(rnd.randint(1, most)))
+    texts = [("hot" if i % 3 else "c", word(40)) for i in range(60)] + [("c", ""), ("c", None), (None, "ab")]
+    names = [("hot" if i % 2 else "c", word(9)) for i in range(60)] + [("hot", "a"), ("hot", "a"), ("c", ""), ("c", None), ("d", "b")]
+    t = spark.createDataFrame(texts, "client_key string, text string")
+    found = containing.names_inside(t, "text", spark.createDataFrame(names, "client_key string, name string"), "name")
+    got = {tuple(r) for r in found.select("client_key", "text", "name").collect()}
+    assert got == {(c, x, n) for c, x in texts for d, n in names if c == d and c and x and n and n in x}
+    shares = containing.with_client(t, t.filter("client_key is not null").select("client_key").distinct(), "text")
+    assert shares.count() == len([x for c, x in texts if c])
+
+
+def test_a_long_name_is_no_burst(spark):
+    """A name of 5,000 characters looks up its windows at powers of two, here one for each place and each of two entry lengths."""
+    long = "".join(chr(0x4E00 + (i * i * 7 + i) % 3001) for i in range(5000))
+    v = spark.createDataFrame([("a", long, long)], "client_key string, vendor_name string, vendor_key string")
+    history = [rule("a", long[4000:4000 + n], f"科目{n}", uses=n) for n in range(2, 60)] + [rule("a", long + "外", "長い", uses=1)]
+    found = RU.match_partial(v, RU.client_rules(spark.createDataFrame(history, HISTORY))).collect()
+    assert [r.suggestion.account_title for r in found] == ["科目59"]
+    entries = containing.index(spark.createDataFrame([("a", long[:n]) for n in (16, 17, 31, 40)], "client_key string, name string"), "name")
+    assert sorted((len(r.start), r.n) for r in entries.collect()) == [(16, 16), (16, 17), (16, 31), (32, 40)]
+
+
+def test_keyword_table(spark):
+    table = spark.createDataFrame([(2, "Taxi", "旅費", None), (1, "tax", "租税", "非課税"), (3, "", "空", None), (4, None, "無", None)], "rule_id int, keyword string, account_title string, tax_category string")
+    v = spark.createDataFrame([("City TAXI",), ("city taxi",), ("bus",), (None,)], "vendor_name string")
+    assert {r.vendor_name: r.suggestion.account_title for r in RU.match_keyword_table(v, table).collect()} == {"City TAXI": "租税", "city taxi": "租税"}
+
+
 def test_no_cap_is_the_whole_history(spark):
     h = spark.createDataFrame([rule("a", "同じ店", "古い", uses=3, day=1), rule("a", "同じ店", "新しい", uses=3, day=9)], HISTORY)
     for cap in (None, 500):
